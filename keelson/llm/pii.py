@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import whole_text, written
+from keelson.llm.common import let, whole_text, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. Quantifiers are possessive where the next part can't start with what they take; a match
@@ -38,10 +38,13 @@ def _before(values: Column, start, join) -> Column:
     """For each element the fold of those before it, in blocks, since a plain fold would copy its array at each step."""
     fold = lambda a: F.aggregate(a, F.lit(start).cast("long"), join)
     block = lambda i: F.floor(i / BLOCK).cast("int")
-    folded = F.transform(F.sequence(F.lit(0), block(F.size(values) - 1)), lambda b: fold(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
-    before = F.transform(folded, lambda _, b: fold(F.slice(folded, F.lit(1), b)))
-    within = F.transform(values, lambda _, i: fold(F.slice(values, block(i) * BLOCK + 1, i % BLOCK)))
-    return F.zip_with(within, F.transform(values, lambda _, i: F.get(before, block(i))), join)
+
+    def places(v: Column) -> Column:
+        folded = F.transform(F.sequence(F.lit(0), block(F.size(v) - 1)), lambda b: fold(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+        before = let(folded, lambda f: F.transform(f, lambda _, b: fold(F.slice(f, F.lit(1), b))))
+        return let(before, lambda f: F.transform(v, lambda _, i: join(fold(F.slice(v, block(i) * BLOCK + 1, i % BLOCK)), F.get(f, block(i)))))
+
+    return let(values, places)
 
 
 def _passes(kind: str, value: Column) -> Column:
@@ -83,24 +86,21 @@ def _hit_maker(gaps: Column, before: Column):
 
 def with_hits(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a column of hits for each of KINDS: start, end (code points), value and the text on either side."""
-    none = F.array().cast(_HIT)
     whole = whole_text(text)
-    df = docs
-    for kind in KINDS:
-        mark, pattern = MARKS[kind], PATTERNS[kind]
-        found = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
-        df = df.withColumn(f"_v_{kind}", F.when(F.contains(whole, F.lit(mark)), found).otherwise(F.array().cast("array<string>")) if mark else found)
-    # What lies between the matches gives their places.
-    df = df.withColumns({f"_g_{kind}": F.when(F.size(f"_v_{kind}") > 0, F.split(whole, PATTERNS[kind], -1)).otherwise(F.array().cast("array<string>")) for kind in KINDS})
-    lengths = {kind: F.zip_with(F.col(f"_v_{kind}"), F.slice(f"_g_{kind}", F.lit(1), F.size(f"_v_{kind}")), lambda v, g: (F.length(g) + F.length(v)).cast("long")) for kind in KINDS}
-    df = df.withColumns({f"_l_{kind}": F.when(F.size(f"_v_{kind}") > 0, lengths[kind]).otherwise(F.array().cast("array<bigint>")) for kind in KINDS})
-    df = df.withColumns({f"_b_{kind}": F.when(F.size(f"_v_{kind}") > 0, _before(F.col(f"_l_{kind}"), 0, lambda a, b: a + b)).otherwise(F.array().cast("array<bigint>")) for kind in KINDS})
-    hits = {}
-    for kind in KINDS:
-        every = F.transform(F.col(f"_v_{kind}"), _hit_maker(F.col(f"_g_{kind}"), F.col(f"_b_{kind}")))
-        hits[kind] = F.when(F.size(f"_v_{kind}") > 0, F.filter(every, _passing(kind))).otherwise(none)
-    drop = [f"_{x}_{kind}" for x in "vglb" for kind in KINDS]
-    return df.withColumns(hits).drop(*drop)
+    return docs.withColumns({kind: _hits(whole, kind) for kind in KINDS})
+
+
+def _hits(whole: Column, kind: str) -> Column:
+    none = F.array().cast(_HIT)
+
+    def placed(v: Column) -> Column:
+        # What lies between the matches gives their places.
+        lengths = lambda g: F.zip_with(v, F.slice(g, F.lit(1), F.size(v)), lambda x, y: (F.length(x) + F.length(y)).cast("long"))
+        every = let(F.split(whole, PATTERNS[kind], -1), lambda g: let(_before(lengths(g), 0, lambda a, b: a + b), lambda before: F.transform(v, _hit_maker(g, before))))
+        return F.when(F.size(v) > 0, F.filter(every, _passing(kind))).otherwise(none)
+
+    found = let(F.regexp_extract_all(whole, F.lit(PATTERNS[kind]), F.lit(0)), placed)
+    return F.when(F.contains(whole, F.lit(MARKS[kind])), found).otherwise(none) if MARKS[kind] else found
 
 
 def _entity(kind: str, hit: Column) -> Column:
@@ -204,12 +204,10 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     marked = [F.transform(k, mark(k)) for k in KINDS]
     marked.append(F.transform("terms", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.when(h["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("mark"))))
-    rows = rows.withColumn("_spans", F.array_sort(F.concat(*marked))).drop(*KINDS, "terms")
-    some = F.size("_spans") > 0
-    ends = F.transform("_spans", lambda s: s["end"])
-    rows = rows.withColumn("_done", F.when(some, _before(ends, 0, lambda a, b: F.greatest(a, b))).otherwise(F.array().cast("array<bigint>")))
     at = lambda a, b: F.substring("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    pieces = F.zip_with("_spans", "_done", lambda s, d: F.when(s["start"] >= d, F.concat(at(d, s["start"]), s["mark"])).otherwise(F.lit("")))
-    rest = F.substring("text", (F.array_max(ends) + 1).cast("int"), F.length("text"))
-    clean = F.when(some, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("_all")[text])
+    ends = lambda spans: F.transform(spans, lambda s: s["end"])
+    pieces = lambda spans, done: F.zip_with(spans, done, lambda s, d: F.when(s["start"] >= d, F.concat(at(d, s["start"]), s["mark"])).otherwise(F.lit("")))
+    rest = lambda spans: F.substring("text", (F.array_max(ends(spans)) + 1).cast("int"), F.length("text"))
+    rebuilt = lambda spans: let(_before(ends(spans), 0, lambda a, b: F.greatest(a, b)), lambda done: F.concat(F.array_join(pieces(spans, done), ""), rest(spans)))
+    clean = let(F.array_sort(F.concat(*marked)), lambda spans: F.when(F.size(spans) > 0, rebuilt(spans)).otherwise(F.col("_all")[text]))
     return rows.select(*[(clean if c == text else F.col("_all")[c]).alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import whole_text, written
+from keelson.llm.common import let, whole_text, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 SYMBOLS = "[^#*$%&|<>]+"
@@ -35,30 +35,34 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     text.
     """
     whole = whole_text(text)
+    words = F.regexp_extract_all(whole, F.lit(WORD), F.lit(0))
+    of_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), _repeated(w).alias("repeat")))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(WORD))
-    df = docs.withColumns({"_words": F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), "_lines": lines})
-    n, words = F.size("_words"), F.col("_words")
-    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_grams", grams)
-    # Most texts repeat no window; only the others are sorted.
-    again = F.size("_grams") > F.size(F.array_distinct("_grams"))
-    pairs = F.array_sort(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    df = df.withColumn("_pairs", F.when(again, pairs).otherwise(F.array().cast("array<struct<g:bigint,i:int>>")))
-    p = F.col("_pairs")
-    twin = lambda x, i: F.coalesce(F.get(p, i - 1)["g"] == x["g"], F.lit(False)) | F.coalesce(F.get(p, i + 1)["g"] == x["g"], F.lit(False))
-    df = df.withColumn("_starts", F.array_sort(F.transform(F.filter(p, twin), lambda x: x["i"])))
-    covered = F.aggregate("_starts", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("e")), lambda a, i: F.struct((a["n"] + i + 3 - F.greatest(a["e"], i)).alias("n"), (i + 3).alias("e")), lambda a: a["n"])
-    df = df.withColumns({
-        "n_words": n.cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(whole, SYMBOLS, "")).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": covered,
-    }).drop("_words", "_lines", "_grams", "_pairs", "_starts")
+    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
+    df = docs.withColumns({"_w": of_words, "_l": of_lines, "n_symbols": F.length(F.regexp_replace(whole, SYMBOLS, "")).cast("long")})
+    df = df.withColumns({"n_words": F.col("_w.n"), "word_chars": F.col("_w.chars"), "n_lines": F.col("_l.n"), "n_dup_lines": F.col("_l.dup"), "n_repeat_words": F.col("_w.repeat")}).drop("_w", "_l")
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def _repeated(words: Column) -> Column:
+    """Words in windows of three that are found again."""
+    hashed = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    # Most texts repeat no window; only the others are sorted.
+    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(hashed, lambda g: F.when(F.size(g) == F.size(F.array_distinct(g)), F.lit(0).cast("long")).otherwise(_covered(g))))
+
+
+def _covered(grams: Column) -> Column:
+    pairs = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+
+    def starts(p: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(p, i)["g"] == x["g"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(p, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
+
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("e"))
+    step = lambda a, i: F.struct((a["n"] + i + 3 - F.greatest(a["e"], i)).alias("n"), (i + 3).alias("e"))
+    return let(pairs, lambda p: F.aggregate(starts(p), start, step, lambda a: a["n"]))
+
+
 def _metric(name: str) -> Column:
     words = F.greatest(F.col("n_words"), F.lit(1))
     return {
@@ -127,5 +131,5 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of documents that judge() keeps, columns unchanged. Reads texts twice rather than shuffling them."""
-    fenced = fences(sketches(measure(docs.select("lang", "source", "text")).drop("text")))
+    fenced = fences(sketches(written(measure(docs.select("lang", "source", "text")).drop("text"), "quality-measures")))
     return verdicts(measure(docs), written(fenced, "quality-fences")).where("kept").select(*docs.columns)

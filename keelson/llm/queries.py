@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import byte_bpe, pii, quality_classifier, quality_rules, secret_scan, source_mix, token_counts
+from keelson.llm import ann_forest, byte_bpe, near_dedup, pii, quality_classifier, quality_rules, secret_scan, source_mix, token_counts
 from keelson.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -50,3 +50,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+
+
+def op2_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann_forest.search(vectors, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir, "doc_id", "text")).drop("text_hash")

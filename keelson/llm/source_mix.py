@@ -85,7 +85,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     placed = placed.withColumn("copies", copies)
     at = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: position(start + k * F.col("source_size"), F.col("target"), F.col("turn")))
     positions = F.when(F.col("copies") > 0, at).otherwise(F.array().cast("array<double>"))
-    return placed.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), positions.alias("positions"))
+    return placed.select(F.col("key").alias(key), F.col("source").alias(source), F.col("h2").alias("text_hash"), "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), positions.alias("positions"))
 
 
 def in_training_order(placed: DataFrame) -> DataFrame:
