@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import ann_forest, byte_bpe, near_dedup, pii, quality_classifier, quality_rules, secret_scan, source_mix, token_counts
+from keelson.llm import ann_forest, byte_bpe, near_dedup, pii, quality_classifier, quality_rules, secret_scan, source_mix, suffix_dedup, token_counts
 from keelson.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -59,3 +59,8 @@ def op2_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir, "doc_id", "text")).drop("text_hash")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.dedup(documents(spark, sf_dir, "doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
