@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import map_rows, whole_text
+from keelson.llm.common import map_rows, whole_text, written
 
 LENGTH, GRAM = 100, 20
 WINDOW = LENGTH - GRAM + 1
@@ -317,15 +317,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     place = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("text_hash"), F.col("start"))
     anchors = _anchors(named, kind)
     grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("segment").alias("x"), F.max("segment").alias("y")).where("n > 1").select("gram", (F.col("x") != F.col("y")).alias("mixed"))
-    hits = anchors.join(grams, "gram")
-    firsts = hits.groupBy("gram", "segment").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.first("mixed").alias("mixed"))
+    hits = written(anchors.join(grams, "gram"), "suffix-hits")
+    firsts = written(hits.groupBy("gram", "segment").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.first("mixed").alias("mixed")), "suffix-firsts")
     # Whole segments that repeat an earlier one.
     twins = hits.join(firsts.select("gram", "segment", "first"), ["gram", "segment"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + F.col("size")).alias("end"))
     # Different segments around one gram; their bytes are cut from the texts.
     wanted = firsts.where("mixed").select(F.col("first.key").alias("k"), F.col("first.text_hash").alias("h"), F.struct("gram", F.col("first.start").alias("start"), "size").alias("s")).groupBy("k", "h").agg(F.collect_list("s").alias("segments"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_doc = named.repartition(n, "text_hash")
-    cut = _cut(by_doc.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k"))).select("key", "text_hash", "text", "segments"), kind).distinct()
+    cut = written(_cut(by_doc.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k"))).select("key", "text_hash", "text", "segments"), kind).distinct(), "suffix-cut")
     crowd = firsts.where("mixed").groupBy("gram").agg(F.count(F.lit(1)).alias("segments")).where(F.col("segments") > MOST_SEGMENTS).select("gram")
     few = cut.join(crowd, "gram", "left_anti").select("gram", "key", "text_hash", "start", "raw").repartition(n, "gram").sortWithinPartitions("gram")
     in_shards = few.mapInArrow(_shards, f"key {kind}, text_hash bigint, start bigint, end bigint")
