@@ -52,6 +52,11 @@ def features(text: str) -> np.ndarray:
     return (mixed >> np.uint32(32 - BITS)) | np.uint32(2)
 
 
+def sparse(coordinates: np.ndarray) -> np.ndarray:
+    """Two rows: the different coordinates and how often each occurs."""
+    return np.stack([x.astype(np.uint32) for x in np.unique(coordinates, return_counts=True)])
+
+
 def margin(weights: np.ndarray, coordinates: np.ndarray) -> float:
     return float(weights[0] + weights[coordinates].sum(dtype=np.float64) / np.sqrt(len(coordinates)))
 
@@ -61,14 +66,11 @@ def chance(value: float) -> float:
 
 
 def train(rows: list[tuple[np.ndarray, int]], rule: Ftrl = Ftrl(), epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after ``epochs`` passes over (coordinates, label) rows in the given order."""
+    """Weights after ``epochs`` passes over (sparse counts, label) rows in the given order."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    sparse = []
-    for coordinates, label in rows:
-        at, counts = np.unique(coordinates, return_counts=True)
-        sparse.append((np.concatenate([[0], at]).astype(np.int64), np.concatenate([[1.0], counts / np.sqrt(len(coordinates))]), label))
     for _ in range(epochs):
-        for at, x, label in sparse:
+        for (coordinates, counts), label in rows:
+            at, x = np.append(0, coordinates), np.append(1.0, counts / np.sqrt(counts.sum()))
             w = _weights(z[at], n[at], rule)
             gradient = (chance(float(w @ x)) - label) * x
             squares = gradient * gradient
@@ -99,14 +101,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
     def featurized():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = [features(x).tobytes() for x in batch.column(3).to_pylist()]
+            packed = [sparse(features(x)).tobytes() for x in batch.column(3).to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["turn", "y", "packed"])
 
         return step
 
     def trained(batches):
-        data = [(np.frombuffer(p, np.uint32), y) for b in batches for y, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([train(data).tobytes()], pa.binary())], ["weights"])
+        # The counts stay where Arrow put them; a row is a view.
+        data = [(np.frombuffer(p.as_buffer(), np.uint32).reshape(2, -1), y.as_py()) for b in batches for y, p in zip(b.column(1), b.column(2), strict=True)]
+        weights = train(data).tobytes()
+        del data
+        pa.default_memory_pool().release_unused()
+        yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary())], ["weights"])
 
     one_task = map_rows(sample, "turn bigint, y int, packed binary", featurized).repartition(1).sortWithinPartitions("turn", "packed")
     found = one_task.mapInArrow(trained, T.StructType([T.StructField("weights", T.BinaryType())])).collect()
