@@ -12,7 +12,7 @@ still hold several components are then searched whole, in blocks. Every link is
 from __future__ import annotations
 
 import zlib
-from math import log
+from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +33,27 @@ BLOCK_NODES = 512
 LEAST_AGREEMENT = 0.58
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Ranks are thrown in cells: these below 1, then one for each unit. A cell holds a Poisson number of darts.
-_EDGES = [0.0, *(2.0**-k for k in range(8, -1, -1))]
+_STRIP = 0xD1B54A32D192ED03
+#: Darts thrown at first: each coordinate gets one with a chance of 0.999.
 _DARTS = COORDINATES * log(COORDINATES) + 2 * COORDINATES
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def _poisson_steps(mean: float) -> np.ndarray:
-    p, total, steps = np.exp(-mean), 0.0, []
-    for k in range(1, 30):
-        total += p
-        steps.append(min(total, 1.0) * 2.0**32)
-        p *= mean / k
-    return np.array(steps)
+def _poisson_steps() -> np.ndarray:
+    """Where a 32-bit number turns into one dart more, at a mean of one dart for an element and strip."""
+    p = np.cumprod([exp(-1.0), *(1.0 / k for k in range(1, 16))])
+    return np.minimum(np.cumsum(p) * 2.0**32, 2.0**32 - 1).astype(np.uint32)
 
 
-_STEPS = {mean: _poisson_steps(mean) for mean in {b - a for a, b in zip(_EDGES, _EDGES[1:], strict=False)} | {1.0}}
+_STEPS = _poisson_steps()
 
 
 def regions(text: str) -> tuple[np.ndarray, bytes]:
@@ -67,41 +67,49 @@ def regions(text: str) -> tuple[np.ndarray, bytes]:
     digest = xxhash.xxh3_128_digest(b" ".join(words))
     hashes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     width = min(SHINGLE_WORDS, len(words))
+    hashes = _mixed(hashes + _MULTIPLIER)
     mixed = np.zeros(len(words) - width + 1, np.uint64)
     for n in range(width):
-        mixed = _mixed(mixed * _MULTIPLIER + hashes[n : n + len(mixed)] + np.uint64(n + 1))
+        mixed *= _MULTIPLIER
+        mixed += hashes[n : n + len(mixed)]
+    mixed = _mixed(mixed)
     mixed.sort()
     starts = np.flatnonzero(np.concatenate([[True], mixed[1:] != mixed[:-1]]))
     nth = np.arange(len(mixed)) - np.repeat(starts, np.diff(np.append(starts, len(mixed))))
     return _mixed(mixed + nth.astype(np.uint64) * _MULTIPLIER), digest
 
 
+def _thrown(units: np.ndarray, least: float, below: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coordinates, ranks, values) of the darts with a rank from ``least`` to ``below``.
+
+    Ranks are thrown in strips of width one, each holding a Poisson number of darts for a unit of weight.
+    """
+    strips = np.arange(int(least), ceil(below))
+    salts = np.array([(k + 1) * _STRIP % 2**64 for k in strips.tolist()], np.uint64)
+    x = _mixed((salts[:, None] + units).reshape(-1))
+    darts = np.searchsorted(_STEPS, (x >> np.uint64(32)).astype(np.uint32), side="right")
+    each = np.repeat(x, darts)
+    number = np.arange(1, len(each) + 1) - np.repeat(np.cumsum(darts) - darts, darts)
+    y = _mixed(each + number.astype(np.uint64) * _MULTIPLIER)
+    ranks = (y & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32
+    ranks += np.repeat(np.repeat(strips, len(units)), darts)
+    inside = np.flatnonzero((ranks >= least) & (ranks < below))
+    y = y[inside]
+    return (((y >> np.uint64(32)) * np.uint64(COORDINATES)) >> np.uint64(32)).astype(np.int64), ranks[inside], _mixed(y).astype(np.uint32)
+
+
 def signature(units: np.ndarray) -> np.ndarray:
     """COORDINATES 32-bit values of the earliest darts."""
     out = np.zeros(COORDINATES, np.uint32)
     empty = np.ones(COORDINATES, bool)
-    cell, reach = 0, _DARTS / len(units)
+    least, below = 0.0, _DARTS / len(units)
     while empty.any():
-        coordinates, ranks, values = [], [], []
-        edge = 0.0
-        while edge < reach:
-            lo, edge = (_EDGES[cell], _EDGES[cell + 1]) if cell + 1 < len(_EDGES) else (float(cell - len(_EDGES) + 2), float(cell - len(_EDGES) + 3))
-            x = _mixed(units + np.uint64((cell + 1) * 0xD1B54A32D192ED03 % 2**64))
-            darts = np.searchsorted(_STEPS[edge - lo], x >> np.uint64(32), side="right")
-            hit = np.flatnonzero(darts)
-            each = np.repeat(x[hit], darts[hit])
-            number = np.arange(len(each)) - np.repeat(np.cumsum(darts[hit]) - darts[hit], darts[hit])
-            y = _mixed(each + (number.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER)
-            coordinates.append(((y >> np.uint64(32)) * np.uint64(COORDINATES)) >> np.uint64(32))
-            ranks.append(lo + (y & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * (edge - lo))
-            values.append(_mixed(y).astype(np.uint32))
-            cell += 1
-        c, r, v = np.concatenate(coordinates).astype(np.int64), np.concatenate(ranks), np.concatenate(values)
+        c, r, v = _thrown(units, least, below)
         order = np.argsort(-r, kind="stable")
         order = order[empty[c[order]]]
         out[c[order]] = v[order]  # the last one written is the earliest dart
         empty[c[order]] = False
-        reach = edge * 2
+        least, below = below, below * 2
     return out
 
 
