@@ -132,4 +132,9 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of documents that judge() keeps, columns unchanged. Reads texts twice rather than shuffling them."""
     fenced = fences(sketches(written(measure(docs.select("lang", "source", "text")).drop("text"), "quality-measures")))
-    return verdicts(measure(docs), written(fenced, "quality-fences")).where("kept").select(*docs.columns)
+    whole_row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    measured = measure(docs.select("lang", "source", "text", whole_row))
+    # The filter on the verdict stops at the generator; pushed below it, it would take the measures again for each use.
+    held = F.explode(F.array(F.struct(*MEASURES, "n_lines", "base_failed"))).alias("_m")
+    once = measured.select("lang", "source", "_row", held).select("lang", "source", "_row", "_m.*")
+    return verdicts(once, written(fenced, "quality-fences")).where("kept").select("_row.*")
