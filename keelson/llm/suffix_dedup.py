@@ -80,24 +80,27 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarra
     return sa
 
 
-def _ranked(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of the named string: names of pairs of names, until all differ."""
+def _ranked(names: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes of the named string: names of pairs of names, until all differ or ``depth`` names count."""
     rank, step, n = names.astype(np.int64), 1, len(names)
     while True:
         ahead = np.zeros(n, np.int64)
         ahead[: max(0, n - step)] = rank[step:] + 1
         key = rank * (n + 2) + ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
-        if new[-1] == n - 1:
+        if new[-1] == n - 1 or 2 * step >= depth:
             return order
         rank[order] = new
         step *= 2
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of values that end in a 0, the only one."""
-    t = text.astype(np.int64)
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Order of all suffixes of values under 2**16 that end in a 0, the only one.
+
+    With a depth, suffixes that share their first ``depth`` values may be in any order among themselves.
+    """
+    t = text.astype(np.uint16)  # stable sorts of 16-bit values are linear
     if len(t) < 2:
         return np.arange(len(t))
     small = _types(t)
@@ -122,22 +125,23 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         open_ = open_[size[open_] > offset]
     names = np.empty(len(t), np.int64)
     names[placed] = np.cumsum(~same) - 1
-    return _induce(t, small, lms[_ranked(names[lms])], counts)
+    # Each name but the last stands for two values at least before the next one starts.
+    return _induce(t, small, lms[_ranked(names[lms], len(t) if depth is None else depth // 2 + 1)], counts)
 
 
-def shares_prefix(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """For each place of the array whether its suffix shares ``length`` values with the one before it.
+def shares_prefix(raw: np.ndarray, left: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
+    """For each place of the array whether its suffix shares ``length`` (8 or more) bytes with the one before it.
 
-    Common prefixes are followed in text order, where the two suffixes move along side by side.
+    Common prefixes are followed in text order, eight bytes at a time, where the two suffixes move along side by side.
+    ``left`` holds the bytes from each place to the end of its segment; a prefix doesn't cross that.
     """
-    n = len(text)
+    n = len(raw)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    open_ = np.flatnonzero((before >= 0) & (np.arange(n) + length <= n) & (before + length <= n))
-    for offset in range(length):
-        if not len(open_):
-            break
-        open_ = open_[text[open_ + offset] == text[before[open_] + offset]]
+    open_ = np.flatnonzero((before >= 0) & (left >= length) & (left[before] >= length))
+    eight = np.ascontiguousarray(np.ndarray(max(0, n - 7), "<u8", raw.tobytes(), strides=(1,)))
+    for offset in [*range(0, length - 8, 8), length - 8]:
+        open_ = open_[eight[open_ + offset] == eight[before[open_] + offset]]
     plcp = np.zeros(n, bool)
     plcp[open_] = True
     return plcp[sa]
@@ -228,15 +232,15 @@ def _cut(wanted: DataFrame, kind: str) -> DataFrame:
 def repeats_of(raws: list[bytes], order: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
     """(segment, start, end) of what repeats an earlier string; order ranks the segments' documents."""
     sizes = np.array([len(x) for x in raws])
-    text = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8).astype(np.int64) + 2
+    joined = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8)
+    text = joined.astype(np.uint16) + np.uint16(2)
     begin = np.cumsum(sizes + 1) - sizes - 1
     text[begin + sizes] = 1
     text[-1] = 0
     owner = np.repeat(np.arange(len(raws)), sizes + 1)
     offset = np.arange(len(text)) - begin[owner]
-    sa = suffix_array(text)
-    shared = shares_prefix(text, sa, LENGTH)
-    shared &= (text[sa] > 1) & (offset[sa] + LENGTH <= sizes[owner[sa]])
+    sa = suffix_array(text, LENGTH)
+    shared = shares_prefix(joined, sizes[owner] - offset, sa, LENGTH)
     run = np.cumsum(~shared)
     member = shared.copy()
     member[:-1] |= shared[1:]
