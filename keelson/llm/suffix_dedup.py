@@ -183,6 +183,19 @@ def _segment(place: int, size: int) -> tuple[int, int]:
     return max(0, place - WINDOW + 1), min(size, place + LENGTH)
 
 
+def _grams(texts: DataFrame) -> DataFrame:
+    """(text) to (gram), a row for each minimizer."""
+
+    def make():
+        def step(rows: pa.RecordBatch) -> pa.RecordBatch:
+            found = [minimizers(text.encode("utf-8"))[1] for text in rows.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], ["gram"])
+
+        return step
+
+    return map_rows(texts, "gram bigint", make)
+
+
 def _anchors(docs: DataFrame, kind: str) -> DataFrame:
     def make():
         names = ["key", "text_hash", "gram", "segment", "start", "size"]
@@ -209,12 +222,20 @@ def _anchors(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def _cut(wanted: DataFrame, kind: str) -> DataFrame:
-    """(key, text_hash, text, segments of (gram, start, size)) to one row a segment with its bytes."""
+    """(key, text_hash, text, segments of (gram, start, size)) to one row a segment with its bytes.
+
+    Of equal rows that follow one another, as the join sorts them, the first is cut. More of them would do no harm.
+    """
 
     def make():
+        last = [None]
+
         def step(rows: pa.RecordBatch) -> pa.RecordBatch:
             index, grams, starts, raws = [], [], [], []
-            for n, (text, segments) in enumerate(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)):
+            for n, (key, text_hash, text, segments) in enumerate(zip(*(c.to_pylist() for c in rows.columns), strict=True)):
+                if last[0] == (key, text_hash):
+                    continue
+                last[0] = key, text_hash
                 raw = text.encode("utf-8")
                 for s in segments:
                     index.append(n)
@@ -319,24 +340,28 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.col(key).alias("key"), F.xxhash64(whole_text(text)).alias("text_hash"), whole_text(text).alias("text"))
     place = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("text_hash"), F.col("start"))
-    anchors = _anchors(named, kind)
-    grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("segment").alias("x"), F.max("segment").alias("y")).where("n > 1").select("gram", (F.col("x") != F.col("y")).alias("mixed"))
-    hits = written(anchors.join(grams, "gram"), "suffix-hits")
-    firsts = written(hits.groupBy("gram", "segment").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.first("mixed").alias("mixed")), "suffix-firsts")
+    repeated = _grams(named.select("text")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    hits = written(_anchors(named, kind).join(repeated, "gram"), "suffix-hits")
+    firsts = written(hits.groupBy("gram", "segment").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")), "suffix-firsts")
     # Whole segments that repeat an earlier one.
-    twins = hits.join(firsts.select("gram", "segment", "first"), ["gram", "segment"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + F.col("size")).alias("end"))
+    twins = hits.join(firsts.where("n > 1").select("gram", "segment", "first"), ["gram", "segment"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + F.col("size")).alias("end"))
     # Different segments around one gram; their bytes are cut from the texts.
-    wanted = firsts.where("mixed").select(F.col("first.key").alias("k"), F.col("first.text_hash").alias("h"), F.struct("gram", F.col("first.start").alias("start"), "size").alias("s")).groupBy("k", "h").agg(F.collect_list("s").alias("segments"))
+    mixed = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1").select("gram", (F.col("segments") > MOST_SEGMENTS).alias("crowded"))
+    wanted = written(firsts.join(mixed, "gram").select(F.col("first.key").alias("k"), F.col("first.text_hash").alias("h"), "gram", F.col("first.start").alias("start"), "size", "crowded"), "suffix-wanted")
+    same_doc = (F.col("text_hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k"))
+
+    def cut(crowded: bool) -> DataFrame:
+        # The texts are dealt by document, once for the cuts and the result alike.
+        of_doc = wanted.where(F.col("crowded") == crowded).groupBy("k", "h").agg(F.collect_list(F.struct("gram", "start", "size")).alias("segments"))
+        return _cut(named.join(of_doc, same_doc).select("key", "text_hash", "text", "segments"), kind)
+
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_doc = named.repartition(n, "text_hash")
-    cut = written(_cut(by_doc.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k"))).select("key", "text_hash", "text", "segments"), kind).distinct(), "suffix-cut")
-    crowd = firsts.where("mixed").groupBy("gram").agg(F.count(F.lit(1)).alias("segments")).where(F.col("segments") > MOST_SEGMENTS).select("gram")
-    few = cut.join(crowd, "gram", "left_anti").select("gram", "key", "text_hash", "start", "raw").repartition(n, "gram").sortWithinPartitions("gram")
+    few = cut(False).select("gram", "key", "text_hash", "start", "raw").repartition(n, "gram").sortWithinPartitions("gram")
     in_shards = few.mapInArrow(_shards, f"key {kind}, text_hash bigint, start bigint, end bigint")
-    strings = cut.join(crowd, "gram", "left_semi").select("key", "text_hash", F.col("start").alias("begin"), "raw", F.explode(F.sequence(F.lit(0), F.octet_length("raw") - LENGTH)).alias("o"))
+    strings = cut(True).select("key", "text_hash", F.col("start").alias("begin"), "raw", F.explode(F.sequence(F.lit(0), F.octet_length("raw") - LENGTH)).alias("o"))
     strings = strings.select("key", "text_hash", (F.col("begin") + F.col("o")).alias("start"), F.xxhash64(F.substring("raw", F.col("o") + 1, F.lit(LENGTH))).alias("s1"), F.crc32(F.substring("raw", F.col("o") + 1, F.lit(LENGTH))).alias("s2"))
     first_of = strings.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("s1", "s2", "first")
     crowded = strings.join(first_of, ["s1", "s2"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + LENGTH).alias("end"))
     gone = twins.unionByName(in_shards).unionByName(crowded).groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
-    rows = by_doc.join(gone, (F.col("text_hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k")), "left").select("key", "text", "gone")
+    rows = named.join(gone, same_doc, "left").select("key", "text", "gone")
     return _kept(rows, kind).withColumnRenamed("key", key)
