@@ -21,7 +21,7 @@ from keelson.llm.common import map_rows, whole_text, written
 LENGTH, GRAM = 100, 20
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of segments in one suffix array.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 #: A minimizer in more different segments than this has its strings compared by hash, spread over all tasks.
 MOST_SEGMENTS = 4096
 
@@ -34,12 +34,12 @@ def _types(t: np.ndarray) -> np.ndarray:
     n = len(t)
     decided = np.append(np.flatnonzero(t[:-1] != t[1:]), n - 1)
     smaller = np.append(t[:-1] < t[1:], True)  # the end mark
-    return smaller[decided][np.searchsorted(decided, np.arange(n))]
+    return np.repeat(smaller[decided], np.diff(decided, prepend=-1))
 
 
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The order of all suffixes from that of the leftmost-smaller ones: a bucket at a time, each step on arrays."""
-    n, sa = len(t), np.full(len(t), -1, np.int64)
+    n, sa = len(t), np.full(len(t), -1, np.int32)
     ends = np.cumsum(counts)
     starts = ends - counts
 
@@ -106,11 +106,11 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     small = _types(t)
     counts = np.bincount(t)
     is_lms = np.append(False, small[1:] & ~small[:-1])
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(np.int32)
     sa = _induce(t, small, lms, counts)
     # Name the leftmost-smaller substrings in their induced order; they end where the next one starts.
     placed = sa[is_lms[sa]]
-    following = np.full(len(t), len(t) - 1)
+    following = np.full(len(t), len(t) - 1, np.int32)
     following[lms[:-1]] = lms[1:]
     size = following[placed] - placed + 1
     same = np.append(False, size[1:] == size[:-1])
@@ -123,7 +123,7 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         open_ = open_[equal]
         offset += 1
         open_ = open_[size[open_] > offset]
-    names = np.empty(len(t), np.int64)
+    names = np.empty(len(t), np.int32)
     names[placed] = np.cumsum(~same) - 1
     # Each name but the last stands for two values at least before the next one starts.
     return _induce(t, small, lms[_ranked(names[lms], len(t) if depth is None else depth // 2 + 1)], counts)
@@ -136,7 +136,7 @@ def shares_prefix(raw: np.ndarray, left: np.ndarray, sa: np.ndarray, length: int
     ``left`` holds the bytes from each place to the end of its segment; a prefix doesn't cross that.
     """
     n = len(raw)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     open_ = np.flatnonzero((before >= 0) & (left >= length) & (left[before] >= length))
     eight = np.ascontiguousarray(np.ndarray(max(0, n - 7), "<u8", raw.tobytes(), strides=(1,)))
@@ -252,14 +252,14 @@ def _cut(wanted: DataFrame, kind: str) -> DataFrame:
 
 def repeats_of(raws: list[bytes], order: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
     """(segment, start, end) of what repeats an earlier string; order ranks the segments' documents."""
-    sizes = np.array([len(x) for x in raws])
+    sizes = np.fromiter(map(len, raws), np.int32, len(raws))
     joined = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8)
     text = joined.astype(np.uint16) + np.uint16(2)
-    begin = np.cumsum(sizes + 1) - sizes - 1
+    begin = (np.cumsum(sizes + 1) - sizes - 1).astype(np.int32)
     text[begin + sizes] = 1
     text[-1] = 0
-    owner = np.repeat(np.arange(len(raws)), sizes + 1)
-    offset = np.arange(len(text)) - begin[owner]
+    owner = np.repeat(np.arange(len(raws), dtype=np.int32), sizes + 1)
+    offset = np.arange(len(text), dtype=np.int32) - begin[owner]
     sa = suffix_array(text, LENGTH)
     shared = shares_prefix(joined, sizes[owner] - offset, sa, LENGTH)
     run = np.cumsum(~shared)
