@@ -340,13 +340,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.col(key).alias("key"), F.xxhash64(whole_text(text)).alias("text_hash"), whole_text(text).alias("text"))
     place = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("text_hash"), F.col("start"))
-    repeated = _grams(named.select("text")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # Counts are written before they are joined: only a join of two exchanges is split where a minimizer is frequent.
+    repeated = written(_grams(named.select("text")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-grams")
     hits = written(_anchors(named, kind).join(repeated, "gram"), "suffix-hits")
     firsts = written(hits.groupBy("gram", "segment").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")), "suffix-firsts")
     # Whole segments that repeat an earlier one.
     twins = hits.join(firsts.where("n > 1").select("gram", "segment", "first"), ["gram", "segment"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + F.col("size")).alias("end"))
     # Different segments around one gram; their bytes are cut from the texts.
-    mixed = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1").select("gram", (F.col("segments") > MOST_SEGMENTS).alias("crowded"))
+    mixed = written(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1").select("gram", (F.col("segments") > MOST_SEGMENTS).alias("crowded")), "suffix-mixed")
     wanted = written(firsts.join(mixed, "gram").select(F.col("first.key").alias("k"), F.col("first.text_hash").alias("h"), "gram", F.col("first.start").alias("start"), "size", "crowded"), "suffix-wanted")
     same_doc = (F.col("text_hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k"))
 
