@@ -150,11 +150,15 @@ def shares_prefix(raw: np.ndarray, left: np.ndarray, sa: np.ndarray, length: int
 # -- minimizers -------------------------------------------------------------------------------------------------------
 
 
-def minimizers(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(places, gram hashes) such that each LENGTH bytes have the leftmost of their least grams among them."""
+def minimizers(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hashes, starts, sizes): the minimizers, and the segments of the strings of LENGTH bytes that have them.
+
+    A string's minimizer is the leftmost of its least grams. Strings that follow one another share it, so each string
+    is in one segment, and equal strings are in segments of equal grams.
+    """
     n = len(raw) - GRAM + 1
     if n < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
     base, width = 0x9E3779B97F4A7C15, 1
     hashes = {1: h}
@@ -175,12 +179,9 @@ def minimizers(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     up = np.minimum.accumulate(square, axis=1).reshape(-1)
     down = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     least = np.minimum(down[: n - WINDOW + 1], up[WINDOW - 1 : n])
-    places = (least[np.append(True, least[1:] != least[:-1])] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return places, gram[places].view(np.int64)
-
-
-def _segment(place: int, size: int) -> tuple[int, int]:
-    return max(0, place - WINDOW + 1), min(size, place + LENGTH)
+    starts = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    places = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return gram[places].view(np.int64), starts, np.diff(starts, append=len(least)) + LENGTH - 1
 
 
 def _grams(texts: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def _grams(texts: DataFrame) -> DataFrame:
 
     def make():
         def step(rows: pa.RecordBatch) -> pa.RecordBatch:
-            found = [minimizers(text.encode("utf-8"))[1] for text in rows.column(0).to_pylist()]
+            found = [minimizers(text.encode("utf-8"))[0] for text in rows.column(0).to_pylist()]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], ["gram"])
 
         return step
@@ -201,20 +202,18 @@ def _anchors(docs: DataFrame, kind: str) -> DataFrame:
         names = ["key", "text_hash", "gram", "segment", "start", "size"]
 
         def step(rows: pa.RecordBatch) -> pa.RecordBatch:
-            index, grams, segments, starts, sizes = [], [], [], [], []
-            for n, text in enumerate(rows.column(2).to_pylist()):
+            grams, starts, sizes, segments = [], [], [], []
+            for text in rows.column(2).to_pylist():
                 raw = text.encode("utf-8")
-                places, found = minimizers(raw)
-                index += [n] * len(places)
-                grams.append(found)
-                for p in places.tolist():
-                    a, b = _segment(p, len(raw))
-                    segments.append(xxhash.xxh3_64_intdigest(raw[a:b]) - 2**63)
-                    starts.append(a)
-                    sizes.append(b - a)
-            at = pa.array(index, pa.int32())
-            gram = pa.array(np.concatenate(grams) if grams else [], pa.int64())
-            return pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), gram, pa.array(segments, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32())], names)
+                gram, start, size = minimizers(raw)
+                grams.append(gram)
+                starts.append(start)
+                sizes.append(size)
+                segments += [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)]
+            at = pa.array(np.repeat(np.arange(len(grams)), [len(x) for x in grams]))
+            gram, start, size = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (grams, starts, sizes))
+            segment = np.array(segments, np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(gram), pa.array(segment), pa.array(start), pa.array(size.astype(np.int32))], names)
 
         return step
 
