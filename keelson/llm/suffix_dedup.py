@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,11 +97,11 @@ def _ranked(names: np.ndarray, depth: int) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Order of all suffixes of values under 2**16 that end in a 0, the only one.
+    """Order of all suffixes of values under 2**16, or of bytes, that end in a 0, the only one.
 
     With a depth, suffixes that share their first ``depth`` values may be in any order among themselves.
     """
-    t = text.astype(np.uint16)  # stable sorts of 16-bit values are linear
+    t = text if text.dtype == np.uint8 else text.astype(np.uint16)  # stable sorts of 8 or 16 bits are linear
     if len(t) < 2:
         return np.arange(len(t))
     small = _types(t)
@@ -253,7 +254,7 @@ def repeats_of(raws: list[bytes], order: np.ndarray, starts: np.ndarray) -> list
     """(segment, start, end) of what repeats an earlier string; order ranks the segments' documents."""
     sizes = np.fromiter(map(len, raws), np.int32, len(raws))
     joined = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8)
-    text = joined.astype(np.uint16) + np.uint16(2)
+    text = joined + np.uint8(2)  # UTF-8 has no bytes 254 and 255, so 0 and 1 are free for marks
     begin = (np.cumsum(sizes + 1) - sizes - 1).astype(np.int32)
     text[begin + sizes] = 1
     text[-1] = 0
@@ -268,7 +269,7 @@ def repeats_of(raws: list[bytes], order: np.ndarray, starts: np.ndarray) -> list
     run, doc, place = run[member], order[owner[at]], starts[owner[at]] + offset[at]
     by = np.lexsort((place, doc, run))
     late = np.append(False, run[by][1:] == run[by][:-1]) if len(by) else np.empty(0, bool)
-    # The first of a run stays, as does the same string of the same place cut out with another segment.
+    # The first of a run stays, as does the same string of the same place in an equal row.
     lead = np.maximum.accumulate(np.where(late, 0, np.arange(len(by)))) if len(by) else by
     late &= ~((doc[by] == doc[by][lead]) & (place[by] == place[by][lead]))
     gone = np.sort(at[by][late])
@@ -302,26 +303,34 @@ def _shards(batches):
         yield solve(held)
 
 
+def _merged(gone: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, starts, ends) of the maximal runs of lists of (start, end), which may overlap or be null."""
+    flat = gone.flatten()
+    start, end = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+    row = np.repeat(np.arange(len(gone)), pc.fill_null(gone.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    if not len(row):
+        return row, row, row
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    apart = row * (end.max() + 1)  # rows lie one behind another, with a gap
+    reach = np.maximum.accumulate(end + apart)
+    first = np.flatnonzero(np.append(True, start[1:] + apart[1:] > reach[:-1]))
+    return row[first], start[first], (reach - apart)[np.append(first[1:], len(row)) - 1]
+
+
 def _kept(docs: DataFrame, kind: str) -> DataFrame:
     def make():
         def step(rows: pa.RecordBatch) -> pa.RecordBatch:
-            size, removed, spans, kept = [], [], [], []
-            for text, gone in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
-                raw = text.encode("utf-8")
-                parts, at, count = [], 0, 0
-                last = -1
-                for s in sorted(gone or (), key=lambda x: (x["start"], x["end"])):
-                    if s["start"] > last:
-                        parts.append(raw[max(at, 0) : s["start"]])
-                        count += 1
-                    last = max(last, s["end"])
-                    at = last
-                parts.append(raw[at:])
-                kept.append(b"".join(parts))
-                size.append(len(raw))
-                removed.append(len(raw) - len(kept[-1]))
-                spans.append(count)
-            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
+            raws = [text.encode("utf-8") for text in rows.column(1).to_pylist()]
+            row, start, end = _merged(rows.column(2))
+            at = np.searchsorted(row, np.arange(len(raws) + 1))
+            kept = []
+            for raw, a, b in zip(raws, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                edges = [0, *np.stack([start[a:b], end[a:b]], axis=1).reshape(-1).tolist(), len(raw)] if a < b else [0, len(raw)]
+                kept.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
+            size = np.fromiter(map(len, raws), np.int64, len(raws))
+            removed = size - np.fromiter(map(len, kept), np.int64, len(kept))
+            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(removed), pa.array(np.diff(at)), pa.array(kept, pa.binary())], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
         return step
 
@@ -362,6 +371,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     strings = strings.select("key", "text_hash", (F.col("begin") + F.col("o")).alias("start"), F.xxhash64(F.substring("raw", F.col("o") + 1, F.lit(LENGTH))).alias("s1"), F.crc32(F.substring("raw", F.col("o") + 1, F.lit(LENGTH))).alias("s2"))
     first_of = strings.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("s1", "s2", "first")
     crowded = strings.join(first_of, ["s1", "s2"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + LENGTH).alias("end"))
-    gone = twins.unionByName(in_shards).unionByName(crowded).groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+    gone = twins.unionByName(in_shards).unionByName(crowded).groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     rows = named.join(gone, same_doc, "left").select("key", "text", "gone")
     return _kept(rows, kind).withColumnRenamed("key", key)
