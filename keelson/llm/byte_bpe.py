@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -40,12 +40,17 @@ class ByteBpe:
         self._fits: dict[tuple[bytes, bytes], bool] = {}
         self._split: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._shorter: dict[bytes, bytes | None] = {}
-        self.automaton = ahocorasick.Automaton()
-        for token in ranks:
-            self.automaton.add_word(token.decode("latin-1"), len(token))
-        self.automaton.make_automaton()
         self.memo = _Memo(self)
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Built where it is used: workers that only decode go without."""
+        found = ahocorasick.Automaton()
+        for token in self.ranks:
+            found.add_word(token.decode("latin-1"), len(token))
+        found.make_automaton()
+        return found
+
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBpe:
         return _from_file(path, pattern)
