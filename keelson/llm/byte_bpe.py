@@ -258,3 +258,19 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id
         return step
 
     return map_rows(encoded.select(key, "ids"), f"`{key}` {kind}, ids binary, decoded binary", make)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded): what decode() gives of encode(), by one worker for both, in one pass over the texts."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def make():
+        bpe = ByteBpe.from_file(ranks_path, pattern)
+
+        def step(rows: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [bpe.encode_packed(x) for x in rows.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode_packed, ids), pa.binary())], [key, "ids", "decoded"])
+
+        return step
+
+    return map_rows(docs.select(key, whole_text(text).alias("text")), f"`{key}` {kind}, ids binary, decoded binary", make)

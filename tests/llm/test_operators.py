@@ -48,6 +48,7 @@ def test_byte_bpe_is_the_librarys(docs, none):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
         done = byte_bpe.decode(byte_bpe.encode(docs, path, P.PATTERN), path, P.PATTERN).collect()
+        assert sorted(byte_bpe.round_trip(docs, path, P.PATTERN).collect(), key=str) == sorted(done, key=str)
         assert len(done) == len(TEXTS)
         for r in done:
             text = TEXTS[r["doc_id"]] or ""
