@@ -2,8 +2,9 @@
 
 Protected entities are found by pattern. How strongly a term discloses one is estimated from the corpus: with p over
 documents, PMI(entity; term) / -log p(entity) is 1 where the term never stands without the entity near it and 0 where
-the two are independent. Terms beside an entity whose strength exceeds a threshold, on enough evidence, are removed,
-those above a lower one generalised. DataFrame functions only.
+the two are independent. p(entity | term) is smoothed towards p(entity), so an entity of a single text counts, too, and
+more texts count for more. Terms beside an entity whose strength exceeds a threshold are removed, those above a lower
+one generalised. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"\p{L}{3,}"
 #: Characters on each side of an entity in which terms are looked at.
 CONTEXT = 60
-#: Different texts in which entity and term must stand together.
-SUPPORT = 3
+#: Weight of the prior in texts: one text in which a word met nowhere else stands with an entity met nowhere else gives
+#: p(entity | term) = 1 / 1.5, a strength over GENERALISE from 58 documents on.
+PRIOR = 0.5
 GENERALISE, REMOVE = 0.9, 0.98
 BLOCK = 256
 
@@ -121,11 +123,12 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(hits: DataFrame, texts: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def disclosing_terms(hits: DataFrame, texts: DataFrame, least: float = GENERALISE) -> DataFrame:
     """(entity, term, strength) above ``least``.
 
     hits: key, text_hash and the hits of each kind, a row a document; texts: the texts of all documents. Probabilities
-    are over all documents; the support counts different texts, or a few copies would make any word look like a secret.
+    are over all documents; the prior weighs as much as PRIOR of the different texts, or a few copies would make any
+    word look like a secret.
     """
 
     def named(kind: str):
@@ -134,7 +137,7 @@ def disclosing_terms(hits: DataFrame, texts: DataFrame, support: int = SUPPORT,
     met = hits.select("text_hash", F.concat(*[F.transform(k, named(k)) for k in KINDS]).alias("met"))
     both = F.array_distinct(F.flatten(F.transform("met", lambda m: F.transform(m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t.alias("term"))))))
     pairs = met.select("text_hash", F.explode(both).alias("p")).groupBy("p.entity", "p.term", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
     pairs = written(pairs, "pii-pairs")
     entities = met.select(F.explode(F.array_distinct(F.transform("met", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # Every word of every text; what goes to the shuffle is one partial count for each term and task.
@@ -142,7 +145,8 @@ def disclosing_terms(hits: DataFrame, texts: DataFrame, support: int = SUPPORT,
     n_docs = hits.count()
     known = pairs.join(n_term, "term").join(entities, "entity")
     p_entity = F.col("n_entity") / F.greatest(F.lit(float(n_docs)), F.col("n_entity") + 1.0)
-    given = F.least(F.lit(1.0), F.col("together") / F.col("n_term"))
+    prior = PRIOR * F.col("together") / F.col("texts")
+    given = F.least(F.lit(1.0), (F.col("together") + prior * p_entity) / (F.col("n_term") + prior))
     strength = 1 - F.log(given) / F.log(p_entity)
     return known.select("entity", "term", strength.alias("strength")).where(F.col("strength") >= least)
 

@@ -105,6 +105,16 @@ def test_disclosing_terms_are_found(spark):
     assert "Zanzibar" not in by_id(pii.sanitise(docs), "text")[0][0]
 
 
+def test_terms_of_an_entity_in_one_text_are_found(spark):
+    rows = [(n, f"words contact number{n}") for n in range(98)] + [(98, "words contact Quagga ann@corp.example number")] + [(99, "words contact +49 30 123456789 number")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [rows[r["doc_id"]][1][s["start"] : s["end"]] for s in r["terms"]] for r in pii.detect(docs).collect()}
+    assert {n: t for n, t in found.items() if t} == {98: ["Quagga"]}
+    # Copies of one text are no more evidence, and the word's other texts count against it.
+    again = docs.union(spark.createDataFrame([(n, f"Quagga words{n}") for n in range(100, 110)], docs.schema)).union(docs.where("doc_id = 98"))
+    assert not any(r["terms"] for r in pii.detect(again).collect())
+
+
 def test_quality_rules(docs, none):
     got = by_id(quality_rules.judge(docs), *quality_rules.MEASURES, "base_failed")
     assert got == {n: brute.rules(t) for n, t in enumerate(TEXTS)}
