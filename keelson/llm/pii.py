@@ -1,10 +1,10 @@
 """Information-theoretic sanitisation of personal data.
 
 Protected entities are found by pattern. How strongly a term discloses one is estimated from the corpus: with p over
-documents, PMI(entity; term) / -log p(entity) is 1 where the term never stands without the entity near it and 0 where
-the two are independent. p(entity | term) is smoothed towards p(entity), so an entity of a single text counts, too, and
-more texts count for more. Terms beside an entity whose strength exceeds a threshold are removed, those above a lower
-one generalised. DataFrame functions only.
+documents, PMI(entity; term) / -log p(entity) is 1 where the term is in no document without the entity and 0 where the
+two are independent. p(entity | term) is smoothed towards p(entity), so an entity of a single text counts, too, and
+more texts count for more. Terms whose strength for any entity exceeds a threshold are removed, those above a lower one
+generalised, wherever they stand, also in texts without the entity. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ PATTERNS = {
 MARKS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"\p{L}{3,}"
-#: Characters on each side of an entity in which terms are looked at.
-CONTEXT = 60
 #: Weight of the prior in texts: one text in which a word met nowhere else stands with an entity met nowhere else gives
 #: p(entity | term) = 1 / 1.5, a strength over GENERALISE from 58 documents on.
 PRIOR = 0.5
@@ -65,29 +63,22 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _whole_words(context: Column, edge: str) -> Column:
-    """The context without the word that its outer edge may cut."""
-    return F.when(F.length(context) < CONTEXT, context).otherwise(F.regexp_replace(context, edge, ""))
-
-
 def _passing(kind: str):
     return lambda h: _passes(kind, h["value"])
 
 
-_HIT = "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
+_HIT = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
-def _hit_maker(gaps: Column, before: Column):
-    def hit(v: Column, i: Column) -> Column:
-        start = F.get(before, i) + F.length(F.get(gaps, i))
-        left, right = F.right(F.get(gaps, i), F.lit(CONTEXT)), F.left(F.get(gaps, i + 1), F.lit(CONTEXT))
-        return F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"), _whole_words(left, r"^\p{L}+").alias("left"), _whole_words(right, r"\p{L}+$").alias("right"))
-
-    return hit
+def _placed(whole: Column, pattern: str, v: Column, make) -> Column:
+    """make(match, start) for each of v, the pattern's matches in whole, one at least."""
+    # What lies between the matches gives their places.
+    lengths = lambda g: F.zip_with(v, F.slice(g, F.lit(1), F.size(v)), lambda x, y: (F.length(x) + F.length(y)).cast("long"))
+    return let(F.split(whole, pattern, -1), lambda g: let(_before(lengths(g), 0, lambda a, b: a + b), lambda before: F.transform(v, lambda x, i: make(x, F.get(before, i) + F.length(F.get(g, i))))))
 
 
 def with_hits(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column of hits for each of KINDS: start, end (code points), value and the text on either side."""
+    """docs with a column of hits for each of KINDS: start, end (code points) and value."""
     whole = whole_text(text)
     return docs.withColumns({kind: _hits(whole, kind) for kind in KINDS})
 
@@ -95,72 +86,94 @@ def with_hits(docs: DataFrame, text: str = "text") -> DataFrame:
 def _hits(whole: Column, kind: str) -> Column:
     none = F.array().cast(_HIT)
 
+    def hit(v: Column, start: Column) -> Column:
+        return F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"))
+
     def placed(v: Column) -> Column:
-        # What lies between the matches gives their places.
-        lengths = lambda g: F.zip_with(v, F.slice(g, F.lit(1), F.size(v)), lambda x, y: (F.length(x) + F.length(y)).cast("long"))
-        every = let(F.split(whole, PATTERNS[kind], -1), lambda g: let(_before(lengths(g), 0, lambda a, b: a + b), lambda before: F.transform(v, _hit_maker(g, before))))
-        return F.when(F.size(v) > 0, F.filter(every, _passing(kind))).otherwise(none)
+        return F.when(F.size(v) > 0, F.filter(_placed(whole, PATTERNS[kind], v, hit), _passing(kind))).otherwise(none)
 
     found = let(F.regexp_extract_all(whole, F.lit(PATTERNS[kind]), F.lit(0)), placed)
     return F.when(F.contains(whole, F.lit(MARKS[kind])), found).otherwise(none) if MARKS[kind] else found
 
 
-def _entity(kind: str, hit: Column) -> Column:
-    return F.concat(F.lit(f"{kind}:"), F.lower(hit["value"])).alias("entity")
+def _at(text: str, a: Column, b: Column) -> Column:
+    return F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
 
 
-def _sides(hits: DataFrame) -> DataFrame:
-    """(key, text_hash, entity, at, context): a row for each side of each hit; at: where the context starts."""
+def _rebuilt(spans: Column, piece, text: str = "text") -> Column:
+    """The text with piece(span, where the spans before it end) for each of the sorted spans and what is before it."""
+    ends = F.transform(spans, lambda s: s["end"])
+    rest = F.substring(text, (F.array_max(ends) + 1).cast("int"), F.length(text))
+    return let(_before(ends, 0, lambda a, b: F.greatest(a, b)), lambda done: F.concat(F.array_join(F.zip_with(spans, done, piece), ""), rest))
 
-    def sides(kind: str):
-        return lambda h: F.struct(_entity(kind, h), F.array(F.struct((h["start"] - F.length(h["left"])).alias("at"), h["left"].alias("context")), F.struct(h["end"].alias("at"), h["right"].alias("context"))).alias("sides"))
 
-    each = hits.select("key", "text_hash", F.explode(F.concat(*[F.transform(k, sides(k)) for k in KINDS])).alias("h"))
-    return each.select("key", "text_hash", F.col("h.entity").alias("entity"), F.explode("h.sides").alias("s")).select("key", "text_hash", "entity", "s.*")
+def _outside(text: str = "text") -> Column:
+    """The text with blanks for its entities, so that places stay and an entity's own words aren't terms."""
+    spans = F.array_sort(F.concat(*[F.transform(k, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))) for k in KINDS]))
+    blanks = lambda s, d: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], d), F.lit(0)).cast("int"))
+    return let(spans, lambda x: F.when(F.size(x) > 0, _rebuilt(x, lambda s, d: F.concat(_at(text, d, s["start"]), blanks(s, d)), text)).otherwise(F.col(text)))
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(words, lambda w: F.lower(w)))
 
 
-def disclosing_terms(hits: DataFrame, texts: DataFrame, least: float = GENERALISE) -> DataFrame:
-    """(entity, term, strength) above ``least``.
+def _entities() -> Column:
+    def named(kind: str):
+        return lambda h: F.concat(F.lit(f"{kind}:"), F.lower(h["value"]))
 
-    hits: key, text_hash and the hits of each kind, a row a document; texts: the texts of all documents. Probabilities
-    are over all documents; the prior weighs as much as PRIOR of the different texts, or a few copies would make any
-    word look like a secret.
-    """
+    return F.array_distinct(F.concat(*[F.transform(k, named(k)) for k in KINDS]))
 
-    def named(kind: str):
-        return lambda h: F.struct(_entity(kind, h), _terms(F.concat(h["left"], F.lit(" "), h["right"])).alias("terms"))
-
-    met = hits.select("text_hash", F.concat(*[F.transform(k, named(k)) for k in KINDS]).alias("met"))
-    both = F.array_distinct(F.flatten(F.transform("met", lambda m: F.transform(m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t.alias("term"))))))
-    pairs = met.select("text_hash", F.explode(both).alias("p")).groupBy("p.entity", "p.term", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
-    pairs = written(pairs, "pii-pairs")
-    entities = met.select(F.explode(F.array_distinct(F.transform("met", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+
+def disclosing_terms(texts: DataFrame, least: float = GENERALISE) -> DataFrame:
+    """(term, strength) for terms whose strength is ``least`` or more for any entity; strength: the greatest.
+
+    texts: one row a document, its text_hash, text and hits. Probabilities are over all documents and co-occurrence is
+    that of whole texts; the prior weighs as much as PRIOR of the different texts, or a few copies would make any word
+    look like a secret. Entities of the same texts are counted as one, so a text full of addresses isn't multiplied by
+    its words.
+    """
+    held = texts.select("text_hash", _entities().alias("entities"), _outside().alias("text")).where(F.size("entities") > 0)
+    held = written(held.select("text_hash", "entities", _terms(F.col("text")).alias("terms")), "pii-held")
+    members = written(held.select("text_hash", F.explode("entities").alias("entity")).groupBy("entity", "text_hash").agg(F.count(F.lit(1)).alias("n")), "pii-members")
+    group = ["n_entity", "set_a", "set_b"]
+    sets = members.groupBy("entity").agg(F.sum("n").alias("n_entity"), *(F.bit_xor(F.xxhash64("text_hash", F.lit(x))).alias(f"set_{x}") for x in "ab"))
+    n_docs = float(texts.count())
+    p_entity = F.col("n_entity") / F.greatest(F.lit(n_docs), F.col("n_entity") + 1.0)
+    # A term in more documents can't reach ``least``, even if it is in all of the entity's.
+    most = F.col("n_entity") * F.pow(p_entity, F.lit(least - 1)) * (1 + 1e-9)
+    within = members.join(sets, "entity").select("text_hash", *group).distinct().withColumn("most", most)
     # Every word of every text; what goes to the shuffle is one partial count for each term and task.
-    n_term = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_docs = hits.count()
-    known = pairs.join(n_term, "term").join(entities, "entity")
-    p_entity = F.col("n_entity") / F.greatest(F.lit(float(n_docs)), F.col("n_entity") + 1.0)
+    n_term = texts.select(F.explode(_terms(_outside())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    words = held.select("text_hash", F.explode("terms").alias("term")).groupBy("text_hash", "term").agg(F.count(F.lit(1)).alias("n"))
+    pairs = words.join(n_term, "term").join(within, "text_hash").where(F.col("n_term") <= F.col("most"))
+    pairs = pairs.groupBy(*group, "term", "n_term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
     prior = PRIOR * F.col("together") / F.col("texts")
     given = F.least(F.lit(1.0), (F.col("together") + prior * p_entity) / (F.col("n_term") + prior))
     strength = 1 - F.log(given) / F.log(p_entity)
-    return known.select("entity", "term", strength.alias("strength")).where(F.col("strength") >= least)
+    return pairs.groupBy("term").agg(F.max(strength).alias("strength")).where(F.col("strength") >= least)
+
+
+def told_terms(texts: DataFrame) -> DataFrame:
+    """(text_hash, told): the disclosing terms (term, removed) of every different text that has any."""
+    disclosing = written(disclosing_terms(texts), "pii-disclosing")
+    each = texts.select("text_hash", F.explode(_terms(_outside())).alias("term")).join(disclosing, "term")
+    each = each.groupBy("text_hash", "term").agg((F.max("strength") >= REMOVE).alias("removed"))
+    return each.groupBy("text_hash").agg(F.collect_list(F.struct("term", "removed")).alias("told"))
 
 
-def term_spans(hits: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """(key, text_hash, terms): the spans (start, end, removed) of disclosing terms beside the entities they disclose."""
-    sides = _sides(hits).where(F.length("context") > 0)
-    found = sides.withColumns({"v": F.regexp_extract_all("context", F.lit(TERM), F.lit(0)), "g": F.split("context", TERM, -1)})
-    # Contexts are short, so the plain sum of what stands before a word will do.
-    lengths = lambda i: F.aggregate(F.slice("v", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("g", F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.length(x))
-    words = F.transform("v", lambda v, i: F.struct(F.lower(v).alias("term"), (F.col("at") + lengths(i)).alias("start"), (F.col("at") + lengths(i) + F.length(v)).alias("end")))
-    each = found.select("key", "text_hash", "entity", F.explode(words).alias("w")).select("key", "text_hash", "entity", "w.*")
-    told = each.join(disclosing, ["entity", "term"]).groupBy("key", "text_hash", "start", "end").agg(F.max("strength").alias("s"))
-    return told.groupBy("key", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.col("s") >= REMOVE).alias("removed")))).alias("terms"))
+def _with_terms(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """texts with the column terms: the spans (start, end, removed) of all occurrences of their disclosing terms."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
+
+    def spans(text: Column, known: Column) -> Column:
+        span = lambda v, start: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), known[F.lower(v)].alias("removed"))
+        every = lambda v: F.when(F.size(v) > 0, F.filter(_placed(text, TERM, v, span), lambda s: s["removed"].isNotNull())).otherwise(none)
+        return let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), every)
+
+    found = let(_outside(), lambda text: let(F.map_from_entries("told"), lambda known: spans(text, known)))
+    return texts.join(told, "text_hash", "left").withColumn("terms", F.when(F.col("told").isNull(), none).otherwise(found)).drop("told")
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,17 +182,14 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     A null text is the empty text. Repeated rows and null keys keep their rows. Other columns are not read. An empty
     table gives an empty one. Spans of different kinds may overlap.
     """
-    named = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
-    hits = written(with_hits(named).select("key", F.xxhash64("text").alias("text_hash"), *KINDS), "pii-hits")
-    terms = written(term_spans(hits, disclosing_terms(hits, named.select("text"))), "pii-terms")
+    texts = _hashed(docs.select(F.col(key).alias("key"), whole_text(text).alias("text")))
+    rows = _with_terms(texts, written(told_terms(texts), "pii-told"))
     bare = {k: F.transform(k, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))) for k in KINDS}
-    return _joined(hits.withColumns(bare), terms).select(F.col("key").alias(key), *KINDS, "terms")
+    return rows.withColumns(bare).select(F.col("key").alias(key), *KINDS, "terms")
 
 
-def _joined(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    t = terms.select(F.col("key").alias("_k"), F.col("text_hash").alias("_h"), "terms")
-    none = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
-    return rows.join(t, F.col("key").eqNullSafe(F.col("_k")) & (F.col("text_hash") == F.col("_h")), "left").drop("_k", "_h").withColumn("terms", F.coalesce("terms", none))
+def _hashed(texts: DataFrame) -> DataFrame:
+    return with_hits(texts).withColumn("text_hash", F.xxhash64("text"))
 
 
 def joined_spans(*kinds: str) -> Column:
@@ -191,27 +201,21 @@ def joined_spans(*kinds: str) -> Column:
     return F.array_join(F.concat(*[F.transform(k, spelled(k)) for k in kinds]), ",")
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the text sanitised, columns unchanged: entities become a mark of their kind, terms a mark or nothing.
 
-    Rows without a span keep their text, null included. Texts are read three times and never shuffled unless the table
-    of term spans outgrows a broadcast.
+    Rows without a span keep their text, null included. Texts are read a few times and never shuffled unless the table
+    of the terms told outgrows a broadcast.
     """
-    named = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
-    hits = written(with_hits(named).select("key", F.xxhash64("text").alias("text_hash"), *KINDS), "pii-hits")
-    terms = written(term_spans(hits, disclosing_terms(hits, named.select("text"))), "pii-terms")
-    inner = docs.withColumns({"_text": whole_text(text), "_all": F.struct(*[F.col(f"`{c}`") for c in docs.columns])}).select(F.col(f"`{key}`").alias("key"), F.col("_text").alias("text"), "_all")
-    rows = _joined(with_hits(inner).withColumn("text_hash", F.xxhash64("text")), terms)
+    told = written(told_terms(_hashed(docs.select(whole_text(text).alias("text")))), "pii-told")
+    inner = docs.withColumns({"_text": whole_text(text), "_all": F.struct(*[F.col(f"`{c}`") for c in docs.columns])}).select(F.col("_text").alias("text"), "_all")
+    rows = _with_terms(_hashed(inner), told)
 
     def mark(kind: str):
         return lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("mark"))
 
     marked = [F.transform(k, mark(k)) for k in KINDS]
     marked.append(F.transform("terms", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.when(h["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("mark"))))
-    at = lambda a, b: F.substring("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    ends = lambda spans: F.transform(spans, lambda s: s["end"])
-    pieces = lambda spans, done: F.zip_with(spans, done, lambda s, d: F.when(s["start"] >= d, F.concat(at(d, s["start"]), s["mark"])).otherwise(F.lit("")))
-    rest = lambda spans: F.substring("text", (F.array_max(ends(spans)) + 1).cast("int"), F.length("text"))
-    rebuilt = lambda spans: let(_before(ends(spans), 0, lambda a, b: F.greatest(a, b)), lambda done: F.concat(F.array_join(pieces(spans, done), ""), rest(spans)))
-    clean = let(F.array_sort(F.concat(*marked)), lambda spans: F.when(F.size(spans) > 0, rebuilt(spans)).otherwise(F.col("_all")[text]))
+    piece = lambda s, d: F.when(s["start"] >= d, F.concat(_at("text", d, s["start"]), s["mark"])).otherwise(F.lit(""))
+    clean = let(F.array_sort(F.concat(*marked)), lambda spans: F.when(F.size(spans) > 0, _rebuilt(spans, piece)).otherwise(F.col("_all")[text]))
     return rows.select(*[(clean if c == text else F.col("_all")[c]).alias(c) for c in docs.columns])

@@ -115,6 +115,16 @@ def test_terms_of_an_entity_in_one_text_are_found(spark):
     assert not any(r["terms"] for r in pii.detect(again).collect())
 
 
+def test_disclosing_terms_are_marked_wherever_they_stand(spark):
+    far = " and words" * 30
+    rows = [(n, f"{n} words Zanzibar, 12 12{far} bob@corp.example and{far} zanzibar") for n in range(5)] + [(n, "words and Zanzibar alone") for n in range(5, 7)] + [(n, "words and nobody") for n in range(7, 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [rows[r["doc_id"]][1][s["start"] : s["end"]] for s in r["terms"]] for r in pii.detect(docs).collect()}
+    assert {n: t for n, t in found.items() if t} == {n: ["Zanzibar", "zanzibar"] if n < 5 else ["Zanzibar"] for n in range(7)}
+    clean = by_id(pii.sanitise(docs), "text")
+    assert not any("zanzibar" in clean[n][0].lower() for n in clean) and clean[1999] == ("words and nobody",)
+
+
 def test_quality_rules(docs, none):
     got = by_id(quality_rules.judge(docs), *quality_rules.MEASURES, "base_failed")
     assert got == {n: brute.rules(t) for n, t in enumerate(TEXTS)}
