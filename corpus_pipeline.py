@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages over ``documents``; each works on what the one before it kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of documents. The
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of documents, the
+mix with a training position, too. The
 stages count over the rows that reach them: the fences of the quality rules over all documents, near copies among those
 that pass, personal data over one of each group, the mix over sanitised texts.
 """
@@ -32,12 +33,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, none to three. Equal rows are told apart by their text only."""
-    placed = source_mix.plan(docs.select("doc_id", "source", "text")).where("copies > 0").select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "copies")
-    taken = written(placed.groupBy("_k", "_s", "_h").agg(F.max("copies").alias("copies")), "mix-taken")
+    """Each document as many times as the mix takes it, none to three, with the copy's training position (``position``)
+    and range-sorted by it. Equal rows are told apart by their text only."""
+    placed = source_mix.plan(docs.select("doc_id", "source", "text")).where("copies > 0").select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "copies", "positions")
+    taken = written(placed.groupBy("_k", "_s", "_h").agg(F.max_by("positions", "copies").alias("positions")), "mix-taken")
     row = docs.withColumn("_t", F.xxhash64(whole_text()))
     joined = row.join(taken, F.col("doc_id").eqNullSafe(F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_h")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return source_mix.in_training_order(joined.select(*docs.columns, "positions")).drop("copy")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

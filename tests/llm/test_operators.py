@@ -152,6 +152,15 @@ def test_source_mix(docs, none):
     assert source_mix.plan(none).count() == 0
 
 
+def test_mix_is_in_training_order(spark, docs, monkeypatch, tmp_path):
+    want = sorted((p, r["doc_id"]) for r in source_mix.plan(docs).collect() for p in r["positions"])
+    got = [(r["position"], r["doc_id"]) for r in corpus_pipeline.mix(spark, docs, "").collect()]
+    assert sorted(got) == want and [p for p, _ in got] == [p for p, _ in want]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    first = [r["positions"][0] if r["positions"] else 2 for r in queries.op5_source_mix(spark, str(tmp_path)).collect()]
+    assert len(first) == len(TEXTS) and first == sorted(first)
+
+
 def by_id_taken(df):
     return {r["doc_id"]: r["taken"] for r in df.collect()}
 
