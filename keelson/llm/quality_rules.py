@@ -19,7 +19,7 @@ MIN_WORDS = 50
 #: Relative width of a bucket: quantiles are within 1 %.
 GAMMA = 1.02
 ZERO_BUCKET = -100_000
-#: A sketch of fewer documents than this is too thin; its language's is taken, and where that is thin too, no fence.
+#: A sketch of fewer documents than this is too thin; its language's is taken, and where that is thin too, that of all.
 LEAST_DOCS = 50
 #: Quartile ranges beyond the quartiles at which a fence stands.
 FAR_OUT = 3.0
@@ -74,16 +74,16 @@ def _metric(name: str) -> Column:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(level, lang, source, metric, bucket, docs) of documents that pass the base rules; level 1: whole languages."""
+    """(level, lang, source, metric, bucket, docs) of documents that pass the base rules; level 1: whole languages, 2: all."""
     values = F.array(*(F.struct(F.lit(k).alias("metric"), _metric(k).alias("x")) for k in METRICS))
     bucket = F.when(F.col("m.x") <= 0, ZERO_BUCKET).otherwise(F.ceil(F.log("m.x") / F.log(F.lit(GAMMA)))).cast("int")
     fine = measured.where(~F.col("base_failed")).select("lang", "source", F.explode(values).alias("m")).groupBy("lang", "source", F.col("m.metric").alias("metric"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("docs"))
-    levels = fine.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("level"), "lang", "source", "metric", "bucket", "docs").withColumn("source", F.when(F.col("level") == 0, F.col("source")))
+    levels = fine.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("level"), "lang", "source", "metric", "bucket", "docs").withColumns({"source": F.when(F.col("level") == 0, F.col("source")), "lang": F.when(F.col("level") < 2, F.col("lang"))})
     return levels.groupBy("level", "lang", "source", "metric", "bucket").agg(F.sum("docs").alias("docs"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(lang, source, fences): for each metric a struct (low, high), null where the evidence is too thin."""
+    """(lang, source, fences): for each metric a struct (low, high)."""
     group = ["level", "lang", "source", "metric"]
     # A sketch has a bounded number of buckets, so its array is small, whatever the data.
     buckets = sketch.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("bucket", "docs"))).alias("b"), F.sum("docs").alias("n"))
@@ -93,17 +93,18 @@ def fences(sketch: DataFrame) -> DataFrame:
         at = F.aggregate("b", start, lambda a, x: F.struct((a["c"] + x["docs"]).alias("c"), F.when(a["at"].isNull() & (a["c"] + x["docs"] >= q * F.col("n")), x["bucket"]).otherwise(a["at"]).alias("at")), lambda a: a["at"])
         return F.when(at == ZERO_BUCKET, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), at) / (GAMMA + 1))
 
-    quartiles = buckets.where(F.col("n") >= LEAST_DOCS).select(*group, quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
+    quartiles = buckets.where((F.col("n") >= LEAST_DOCS) | (F.col("level") == 2)).select(*group, quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
     least = F.create_map(*(F.lit(x) for k, (v, _) in METRICS.items() for x in (k, v)))[F.col("metric")]
     below = F.col("metric").isin([k for k, (_, both) in METRICS.items() if both])
     reach = F.greatest(FAR_OUT * (F.col("q3") - F.col("q1")), least)
     fence = F.struct(F.when(below, F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
     by_group = quartiles.select(*group, fence.alias("fence")).groupBy("level", "lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", "fence"))).alias("fences"))
     own, whole = by_group.where("level = 0").drop("level"), by_group.where("level = 1").select(F.col("lang").alias("l"), F.col("fences").alias("f"))
-    # Every language and source is there, with its language's fences where its own sketch is thin.
+    overall = by_group.where("level = 2").select(F.col("fences").alias("a"))
+    # Every language and source is there, with its language's fences where its own sketch is thin, or those of all.
     every = sketch.where("level = 0").select("lang", "source").distinct()
-    held = every.select(F.col("lang").alias("lang0"), F.col("source").alias("source0")).join(own, F.col("lang0").eqNullSafe(F.col("lang")) & F.col("source0").eqNullSafe(F.col("source")), "left").join(whole, F.col("lang0").eqNullSafe(F.col("l")), "left")
-    return held.select(F.col("lang0").alias("lang"), F.col("source0").alias("source"), F.coalesce("fences", "f").alias("fences"))
+    held = every.select(F.col("lang").alias("lang0"), F.col("source").alias("source0")).join(own, F.col("lang0").eqNullSafe(F.col("lang")) & F.col("source0").eqNullSafe(F.col("source")), "left").join(whole, F.col("lang0").eqNullSafe(F.col("l")), "left").crossJoin(F.broadcast(overall))
+    return held.select(F.col("lang0").alias("lang"), F.col("source0").alias("source"), F.coalesce("fences", "f", "a").alias("fences"))
 
 
 def verdicts(measured: DataFrame, fenced: DataFrame) -> DataFrame:
@@ -120,6 +121,8 @@ def verdicts(measured: DataFrame, fenced: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(key, measures, base_failed, kept) for every row.
 
+    Fences are those of the row's language and source; where fewer than LEAST_DOCS documents of it pass the base rules,
+    its language's, and where that has fewer, too, those of all documents, however few.
     Null languages and sources are a group of their own. Repeated rows each keep theirs, and null keys too; other
     columns are not read. An empty table gives an empty one. Texts are read once: the measures, a few numbers a row, are
     written before the sketches are taken from them.

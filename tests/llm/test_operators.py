@@ -134,6 +134,14 @@ def test_quality_rules(docs, none):
     assert quality_rules.judge(none).count() == 0
 
 
+def test_thin_languages_have_the_fences_of_all(spark):
+    text = lambda n, mark: " ".join(f"word{n}x{i}{mark}" for i in range(60))
+    rows = [(n, text(n, ""), "en", "a") for n in range(60)] + [(60, text(60, "$$"), "xx", "a"), (61, text(61, ""), "xx", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = by_id(quality_rules.judge(docs), "kept")
+    assert [n for n in kept if not kept[n][0]] == [60] and quality_rules.keep_good(docs).count() == 61
+
+
 def test_source_mix(docs, none):
     sizes = {n: len(brute.WORD.findall(t or "")) for n, t in enumerate(TEXTS)}
     total = {}
