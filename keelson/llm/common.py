@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python worker holds as objects at a time.
-SLICE_ROWS = 256
+#: Rows and bytes that a Python worker holds as objects at a time; a longer row is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -40,16 +40,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df cut from its lineage: written as Parquet to the shared folder and read again."""
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def written(df: DataFrame, label: str, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """df cut from its lineage: written as Parquet to the shared folder and read again.
+
+    The folder goes when the driver ends. ``spent`` are earlier ones that nothing needs once this one is there; they go
+    at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _hadoop(spark, path)
+    files.deleteOnExit(place)
+    for old in spent:
+        files.delete(_hadoop(spark, old.scratch)[1], True)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch = path
+    return found
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most SLICE_ROWS rows and about SLICE_BYTES."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(SLICE_ROWS, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).get_total_buffer_size() > SLICE_BYTES and batch.slice(at, n).nbytes > SLICE_BYTES:
+            n = (n + 1) // 2
+        yield batch.slice(at, n)
+        at += n
 
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[dict]], pa.Table | pa.RecordBatch]]) -> DataFrame:
-    """mapInArrow over slices of at most SLICE_ROWS rows.
+    """mapInArrow over slices of bounded rows and bytes.
 
     ``make`` runs once in a worker for each task and returns the function that turns a slice, a dictionary of
     Python lists by column, into a dictionary of columns.
@@ -58,7 +84,6 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[dict]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                yield step(batch.slice(at, SLICE_ROWS))
+            yield from map(step, slices(batch))
 
     return df.mapInArrow(run, schema)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import let, whole_text, written
+from keelson.llm.spans import before, placed_matches
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. Quantifiers are possessive where the next part can't start with what they take; a match
@@ -31,20 +32,6 @@ TERM = r"\p{L}{3,}"
 #: p(entity | term) = 1 / 1.5, a strength over GENERALISE from 58 documents on.
 PRIOR = 0.5
 GENERALISE, REMOVE = 0.9, 0.98
-BLOCK = 256
-
-
-def _before(values: Column, start, join) -> Column:
-    """For each element the fold of those before it, in blocks, since a plain fold would copy its array at each step."""
-    fold = lambda a: F.aggregate(a, F.lit(start).cast("long"), join)
-    block = lambda i: F.floor(i / BLOCK).cast("int")
-
-    def places(v: Column) -> Column:
-        folded = F.transform(F.sequence(F.lit(0), block(F.size(v) - 1)), lambda b: fold(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
-        before = let(folded, lambda f: F.transform(f, lambda _, b: fold(F.slice(f, F.lit(1), b))))
-        return let(before, lambda f: F.transform(v, lambda _, i: join(fold(F.slice(v, block(i) * BLOCK + 1, i % BLOCK)), F.get(f, block(i)))))
-
-    return let(values, places)
 
 
 def _passes(kind: str, value: Column) -> Column:
@@ -70,13 +57,6 @@ def _passing(kind: str):
 _HIT = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
-def _placed(whole: Column, pattern: str, v: Column, make) -> Column:
-    """make(match, start) for each of v, the pattern's matches in whole, one at least."""
-    # What lies between the matches gives their places.
-    lengths = lambda g: F.zip_with(v, F.slice(g, F.lit(1), F.size(v)), lambda x, y: (F.length(x) + F.length(y)).cast("long"))
-    return let(F.split(whole, pattern, -1), lambda g: let(_before(lengths(g), 0, lambda a, b: a + b), lambda before: F.transform(v, lambda x, i: make(x, F.get(before, i) + F.length(F.get(g, i))))))
-
-
 def with_hits(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a column of hits for each of KINDS: start, end (code points) and value."""
     whole = whole_text(text)
@@ -90,7 +70,7 @@ def _hits(whole: Column, kind: str) -> Column:
         return F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"))
 
     def placed(v: Column) -> Column:
-        return F.when(F.size(v) > 0, F.filter(_placed(whole, PATTERNS[kind], v, hit), _passing(kind))).otherwise(none)
+        return F.when(F.size(v) > 0, F.filter(let(F.split(whole, PATTERNS[kind], -1), lambda g: placed_matches(v, g, hit)), _passing(kind))).otherwise(none)
 
     found = let(F.regexp_extract_all(whole, F.lit(PATTERNS[kind]), F.lit(0)), placed)
     return F.when(F.contains(whole, F.lit(MARKS[kind])), found).otherwise(none) if MARKS[kind] else found
@@ -104,7 +84,7 @@ def _rebuilt(spans: Column, piece, text: str = "text") -> Column:
     """The text with piece(span, where the spans before it end) for each of the sorted spans and what is before it."""
     ends = F.transform(spans, lambda s: s["end"])
     rest = F.substring(text, (F.array_max(ends) + 1).cast("int"), F.length(text))
-    return let(_before(ends, 0, lambda a, b: F.greatest(a, b)), lambda done: F.concat(F.array_join(F.zip_with(spans, done, piece), ""), rest))
+    return let(before(ends, 0, lambda a, b: F.greatest(a, b)), lambda done: F.concat(F.array_join(F.zip_with(spans, done, piece), ""), rest))
 
 
 def _outside(text: str = "text") -> Column:
@@ -169,7 +149,7 @@ def _with_terms(texts: DataFrame, told: DataFrame) -> DataFrame:
 
     def spans(text: Column, known: Column) -> Column:
         span = lambda v, start: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), known[F.lower(v)].alias("removed"))
-        every = lambda v: F.when(F.size(v) > 0, F.filter(_placed(text, TERM, v, span), lambda s: s["removed"].isNotNull())).otherwise(none)
+        every = lambda v: F.when(F.size(v) > 0, F.filter(let(F.split(text, TERM, -1), lambda g: placed_matches(v, g, span)), lambda s: s["removed"].isNotNull())).otherwise(none)
         return let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), every)
 
     found = let(_outside(), lambda text: let(F.map_from_entries("told"), lambda known: spans(text, known)))

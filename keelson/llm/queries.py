@@ -22,7 +22,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(documents(spark, sf_dir, "doc_id", "text"), secret_scan.new_ledger(spark))
+    found = secret_scan.scan(documents(spark, sf_dir, "doc_id", "text"), secret_scan.ledger_of(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 

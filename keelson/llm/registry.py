@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.llm import queries
+from keelson.llm import oracles, queries
 
 QUERIES = {name: f for name, f in vars(queries).items() if name.startswith("op")}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
