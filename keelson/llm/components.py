@@ -11,21 +11,21 @@ from keelson.llm.common import written
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of (a, b): the component is its least node.
 
-    Each step is a minimum by node, summed up before the shuffle, and a join on it, which Spark splits where a node is
-    in very many links. The links are rewritten to the shared folder after each pair of steps, until they stay as they
+    Each step is a minimum by node, summed up before the shuffle, and a join on it. The minima are written before the
+    join in which a node can be in very many links, since Spark splits only joins of two exchanges. The links are rewritten to the shared folder after each pair of steps, until they stay as they
     are; a path halves about every pair of steps.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
         # Large star: neighbours above u hang on the least node around u.
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its neighbours below hang on the least of these.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = written(small, "links")
+        edges = written(small, "links", (edges, least))
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == mark:
             break

@@ -209,9 +209,15 @@ def test_signatures_estimate_weighted_jaccard():
     rnd, words = random.Random(3), [f"w{n}" for n in range(900)]
     a = [rnd.choice(words) for _ in range(3000)]
     b = a[:2400] + [rnd.choice(words) for _ in range(600)]
-    (x, _), (y, _) = near_dedup.regions(" ".join(a)), near_dedup.regions(" ".join(b))
-    true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-    assert abs((near_dedup.signature(x) == near_dedup.signature(y)).mean() - true) < 0.15
+    heavy = ["heavy words that weigh much"]
+    for extra, other in (([], []), (heavy * 700, heavy * 900), (heavy * 2000, heavy * 500)):
+        (x, v, _), (y, w, _) = near_dedup.regions(" ".join(a + extra)), near_dedup.regions(" ".join(b + other))
+        s, t = near_dedup.units(x, v), near_dedup.units(y, w)
+        true = len(np.intersect1d(s, t)) / len(np.union1d(s, t))
+        assert abs((near_dedup.signature(x, v) == near_dedup.signature(y, w)).mean() - true) < 0.15
+    light, weights = np.arange(1, 6, dtype=np.uint64) << np.uint64(40), np.array([1, 2, 3, 900, 5])
+    many = [(near_dedup.signature(light + np.uint64(k), weights) == near_dedup.signature(light + np.uint64(k), weights * [1, 1, 1, 0, 1] + [0, 0, 0, 700, 0])).mean() for k in range(40)]
+    assert abs(np.mean(many) - 711 / 911) < 0.03
 
 
 def test_classifier_learns(spark):
