@@ -30,4 +30,36 @@ by_doc AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN by_doc USING (rid)"""
 
-ORACLES = {"op3_secret_scan": SECRETS}
+_METRICS = (("mean_word_chars", "word_chars / greatest(n_words, 1)", 2.0, True), ("symbols_per_word", "n_symbols / greatest(n_words, 1)", 0.15, False), ("dup_line_share", "n_dup_lines / greatest(n_lines, 1)", 0.3, False), ("repeat_share", "n_repeat_words / greatest(n_words, 1)", 0.25, False))
+
+
+def _measures() -> str:
+    word = "[^\\x20\\x09-\\x0D]"
+    return f"""d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '{word}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols FROM d),
+win AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM w, UNNEST(range(1, len(w) - 1)) AS u(i)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM win) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) o(k) GROUP BY rid),
+m AS (SELECT rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN w USING (rid) LEFT JOIN covered USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)"""
+
+
+def _quality() -> str:
+    values = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {x} AS x FROM f WHERE NOT base_failed" for k, x, _, _ in _METRICS)
+    level = lambda keys: f"""(SELECT {keys}metric, max(n)::DOUBLE AS n, {", ".join(f"min(v) FILTER (c >= {q} * n) AS {name}" for name, q in (("q1", 0.25), ("q3", 0.75)))}
+      FROM (SELECT *, sum(k) OVER (PARTITION BY {keys}metric ORDER BY bucket) AS c, sum(k) OVER (PARTITION BY {keys}metric) AS n,
+        CASE WHEN bucket = -100000 THEN 0.0 ELSE 2 * pow(1.02::DOUBLE, bucket) / (1.02::DOUBLE + 1) END AS v
+        FROM (SELECT {keys}metric, bucket, count(*) AS k FROM b GROUP BY ALL)) GROUP BY {keys}metric)"""
+    drawn = lambda q: f"(own.n * own.{q} + 50.0::DOUBLE * ((wide.n * wide.{q} + 50.0::DOUBLE * every.{q}) / (wide.n + 50.0::DOUBLE))) / (own.n + 50.0::DOUBLE)"
+    least = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, _, v, _ in _METRICS) + " END"
+    high = " OR ".join(f"coalesce({x} > h['{k}'], false)" + (f" OR coalesce({x} < l['{k}'], false)" if below else "") for k, x, _, below in _METRICS)
+    return f"""WITH {_measures()},
+b AS (SELECT lang, source, metric, CASE WHEN x <= 0 THEN -100000 ELSE ceil(ln(x) / ln(1.02::DOUBLE))::INT END AS bucket FROM ({values})),
+q AS (SELECT own.lang, own.source, metric, {drawn("q1")} AS q1, {drawn("q3")} AS q3 FROM {level("lang, source, ")} own JOIN {level("lang, ")} wide USING (metric) JOIN {level("")} every USING (metric) WHERE own.lang IS NOT DISTINCT FROM wide.lang),
+fence AS (SELECT lang, source, map(list(metric), list(q1 - reach)) AS l, map(list(metric), list(q3 + reach)) AS h FROM (SELECT *, greatest(3.0::DOUBLE * (q3 - q1), {least}) AS reach FROM q) GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({high}) AS kept
+FROM f LEFT JOIN fence ON f.lang IS NOT DISTINCT FROM fence.lang AND f.source IS NOT DISTINCT FROM fence.source"""
+
+
+ORACLES = {"op3_secret_scan": SECRETS, "op9_quality_rules": _quality()}

@@ -2,8 +2,8 @@
 
 Fixed cutoffs are replaced by fences that each language and source sets for itself. A relative-error quantile sketch, a
 histogram of logarithmic buckets, is kept for each of them: its counts add up, so sketches merge in any order, before
-the shuffle, and from sources into a language. Quartiles read off the sketches give far-out fences, and documents are
-joined with the fences of their language and source. DataFrame functions only.
+the shuffle, and from sources into a language and into the whole. Quartiles read off the sketches, drawn towards those of
+the wider group as far as few documents leave them unsure, give far-out fences, and documents are with the fences of their language and source. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ MIN_WORDS = 50
 #: Relative width of a bucket: quantiles are within 1 %.
 GAMMA = 1.02
 ZERO_BUCKET = -100_000
-#: A sketch of fewer documents than this is too thin; its language's is taken, and where that is thin too, that of all.
-LEAST_DOCS = 50
+#: Documents that the wider group's quartiles weigh as much as: a source's are drawn towards its language's, and these
+#: towards those of all documents.
+PRIOR_DOCS = 50.0
 #: Quartile ranges beyond the quartiles at which a fence stands.
 FAR_OUT = 3.0
 #: Metric: its least distance of fence and quartile, and whether there is a fence below, too.
@@ -31,8 +32,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measures of MEASURES, n_lines and base_failed added (columns of such names are replaced).
 
-    A null or empty text has no words: all measures 0, base_failed. Windows are compared by their 64-bit hash within a
-    text.
+    A null or empty text has no words: all measures 0, base_failed. Windows are found by their 64-bit hash within a text;
+    those of equal hash are compared word by word.
     """
     whole = whole_text(text)
     words = F.regexp_extract_all(whole, F.lit(WORD), F.lit(0))
@@ -48,14 +49,15 @@ def _repeated(words: Column) -> Column:
     """Words in windows of three that are found again."""
     hashed = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     # Most texts repeat no window; only the others are sorted.
-    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(hashed, lambda g: F.when(F.size(g) == F.size(F.array_distinct(g)), F.lit(0).cast("long")).otherwise(_covered(g))))
+    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(hashed, lambda g: F.when(F.size(g) == F.size(F.array_distinct(g)), F.lit(0).cast("long")).otherwise(_covered(g, words))))
 
 
-def _covered(grams: Column) -> Column:
+def _covered(grams: Column, words: Column) -> Column:
     pairs = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
 
     def starts(p: Column) -> Column:
-        same = lambda x, i: F.coalesce(F.get(p, i)["g"] == x["g"], F.lit(False))
+        window = lambda i: F.slice(words, i + 1, F.lit(3))
+        same = lambda x, i: F.coalesce((F.get(p, i)["g"] == x["g"]) & (window(F.get(p, i)["i"]) == window(x["i"])), F.lit(False))
         return F.array_sort(F.transform(F.filter(p, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
 
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("e"))
@@ -83,7 +85,11 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(lang, source, fences): for each metric a struct (low, high)."""
+    """(lang, source, fences): for each metric a struct (low, high).
+
+    A group's quartile q of n documents counts as (n q + PRIOR_DOCS w) / (n + PRIOR_DOCS), where w is its language's, and
+    a language's likewise with that of all documents: one formula at every size.
+    """
     group = ["level", "lang", "source", "metric"]
     # A sketch has a bounded number of buckets, so its array is small, whatever the data.
     buckets = sketch.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("bucket", "docs"))).alias("b"), F.sum("docs").alias("n"))
@@ -93,18 +99,30 @@ def fences(sketch: DataFrame) -> DataFrame:
         at = F.aggregate("b", start, lambda a, x: F.struct((a["c"] + x["docs"]).alias("c"), F.when(a["at"].isNull() & (a["c"] + x["docs"] >= q * F.col("n")), x["bucket"]).otherwise(a["at"]).alias("at")), lambda a: a["at"])
         return F.when(at == ZERO_BUCKET, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), at) / (GAMMA + 1))
 
-    quartiles = buckets.where((F.col("n") >= LEAST_DOCS) | (F.col("level") == 2)).select(*group, quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
-    least = F.create_map(*(F.lit(x) for k, (v, _) in METRICS.items() for x in (k, v)))[F.col("metric")]
-    below = F.col("metric").isin([k for k, (_, both) in METRICS.items() if both])
-    reach = F.greatest(FAR_OUT * (F.col("q3") - F.col("q1")), least)
-    fence = F.struct(F.when(below, F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-    by_group = quartiles.select(*group, fence.alias("fence")).groupBy("level", "lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", "fence"))).alias("fences"))
-    own, whole = by_group.where("level = 0").drop("level"), by_group.where("level = 1").select(F.col("lang").alias("l"), F.col("fences").alias("f"))
-    overall = by_group.where("level = 2").select(F.col("fences").alias("a"))
-    # Every language and source is there, with its language's fences where its own sketch is thin, or those of all.
-    every = sketch.where("level = 0").select("lang", "source").distinct()
-    held = every.select(F.col("lang").alias("lang0"), F.col("source").alias("source0")).join(own, F.col("lang0").eqNullSafe(F.col("lang")) & F.col("source0").eqNullSafe(F.col("source")), "left").join(whole, F.col("lang0").eqNullSafe(F.col("l")), "left").crossJoin(F.broadcast(overall))
-    return held.select(F.col("lang0").alias("lang"), F.col("source0").alias("source"), F.coalesce("fences", "f", "a").alias("fences"))
+    known = F.struct(F.col("n").cast("double").alias("n"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
+    by_group = buckets.select("level", "lang", "source", "metric", known.alias("known")).groupBy("level", "lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", "known"))).alias("known"))
+    by_group = written(by_group, "quality-quartiles")
+    # One row of a few numbers, whatever the data.
+    overall = {k: v for row in by_group.where("level = 2").select("known").collect() for k, v in row[0].items()}
+    languages = by_group.where("level = 1").select(F.col("lang").alias("l"), F.col("known").alias("wide"))
+    own = by_group.where("level = 0").join(languages, F.col("lang").eqNullSafe(F.col("l")), "left")
+
+    def drawn(near: Column, far: Column | float) -> Column:
+        return (near["n"] * near["q"] + PRIOR_DOCS * far) / (near["n"] + PRIOR_DOCS)
+
+    def fence(metric: str) -> Column:
+        least, below = METRICS[metric]
+        if metric not in overall:
+            return F.lit(None).cast("struct<low:double,high:double>")
+        q1, q3 = (drawn(_named(F.col("known")[metric], q), drawn(_named(F.col("wide")[metric], q), F.lit(overall[metric][q]))) for q in ("q1", "q3"))
+        reach = F.greatest(FAR_OUT * (q3 - q1), F.lit(least))
+        return F.struct((q1 - reach if below else F.lit(None).cast("double")).alias("low"), (q3 + reach).alias("high"))
+
+    return own.select("lang", "source", F.struct(*(fence(m).alias(m) for m in METRICS)).alias("fences"))
+
+
+def _named(known: Column, quartile: str) -> dict[str, Column]:
+    return {"n": known["n"], "q": known[quartile]}
 
 
 def verdicts(measured: DataFrame, fenced: DataFrame) -> DataFrame:
@@ -121,9 +139,7 @@ def verdicts(measured: DataFrame, fenced: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(key, measures, base_failed, kept) for every row.
 
-    Fences are those of the row's language and source; where fewer than LEAST_DOCS documents of it pass the base rules,
-    its language's, and where that has fewer, too, those of all documents, however few.
-    Null languages and sources are a group of their own. Repeated rows each keep theirs, and null keys too; other
+    Fences are those of the row's language and source, as fences() says. Null languages and sources are a group of their own. Repeated rows each keep theirs, and null keys too; other
     columns are not read. An empty table gives an empty one. Texts are read once: the measures, a few numbers a row, are
     written before the sketches are taken from them.
     """
@@ -133,7 +149,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of documents that judge() keeps, columns unchanged. Reads texts twice rather than shuffling them."""
+    """The rows of documents that judge() keeps, columns unchanged, whatever they are called; nulls as in judge(). Reads
+    texts twice rather than shuffling them."""
     fenced = fences(sketches(written(measure(docs.select("lang", "source", "text")).drop("text"), "quality-measures")))
     whole_row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     measured = measure(docs.select("lang", "source", "text", whole_row))
