@@ -62,4 +62,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN fence ON f.lang IS NOT DISTINCT FROM fence.lang AND f.source IS NOT DISTINCT FROM fence.source"""
 
 
-ORACLES = {"op3_secret_scan": SECRETS, "op9_quality_rules": _quality()}
+_NUMBER = "('0x' || substr({}, 1, 15))::BIGINT"
+_COPY = "CASE WHEN size > 0 AND start + {k} * source_size + size / 2 < target THEN 1 ELSE 0 END"
+MIX = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS m FROM documents),
+h AS (SELECT *, {_NUMBER.format("md5(coalesce(doc_id::VARCHAR, '') || ':' || m)")} AS h1, {_NUMBER.format("m")} AS h2 FROM d),
+s AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][turn % 3 + 1] AS weight FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM d GROUP BY source)),
+r AS (SELECT *, 3 * source_size / weight AS room FROM s),
+v AS (SELECT *, ((sum(source_size) OVER ())::BIGINT - 3 * coalesce(sum(source_size) OVER up_to, 0)::BIGINT) / (sum(weight) OVER () - coalesce(sum(weight) OVER up_to, 0)) AS level FROM r WINDOW up_to AS (ORDER BY room, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, turn, least(weight * coalesce((SELECT arg_min(level, [room, turn]) FROM v WHERE room >= level), 'inf'::DOUBLE), (3 * source_size)::DOUBLE) AS target FROM v),
+p AS (SELECT h.*, source_size, turn, target, coalesce(sum(size) OVER (PARTITION BY h.source ORDER BY h1 % 4096, h1, doc_id NULLS FIRST, h2, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM h JOIN t ON h.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, ({" + ".join(_COPY.format(k=k) for k in range(3))})::BIGINT AS copies, CASE WHEN turn % 2 = 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS tilt FROM p)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies, CASE WHEN copies > 0 THEN
+  ((1 + tilt) - sqrt(greatest(0.0::DOUBLE, (1 + tilt) * (1 + tilt) - 4 * tilt * least(1.0::DOUBLE, start / target)))) / (2 * tilt) END AS first_position FROM c"""
+
+ORACLES = {"op3_secret_scan": SECRETS, "op5_source_mix": MIX, "op9_quality_rules": _quality()}

@@ -34,9 +34,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = source_mix.plan(documents(spark, sf_dir, "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "copies", "positions")
-    first = F.get("positions", F.lit(0)).asc_nulls_last()
-    return placed.repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, "doc_id")
+    first = F.get("positions", F.lit(0))
+    placed = source_mix.plan(documents(spark, sf_dir, "doc_id", "source", "text"))
+    placed = placed.select("doc_id", "size", "source_size", "target", "taken", "copies", first.alias("first_position"))
+    order = F.col("first_position").asc_nulls_last()
+    return placed.repartitionByRange(order, F.col("doc_id")).sortWithinPartitions(order, "doc_id")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,16 +58,30 @@ def position(words: Column, target: Column, turn: Column) -> Column:
     return ((1 + s) - F.sqrt(F.greatest(F.lit(0.0), (1 + s) * (1 + s) - 4 * s * share))) / (2 * s)
 
 
+def _number(digest: Column) -> Column:
+    """The first 60 bits of a digest in hexadecimal."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def text_number(text: str = "text") -> Column:
+    """What plan() tells texts apart by, its text_hash."""
+    return _number(F.md5(whole_text(text).cast("binary")))
+
+
 def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row a document: (key, source, size, source_size, target, copies, taken, positions).
 
     Copies are whole documents: the k-th copy is taken if its middle word comes before the target in the source's
     repeated order, so a source misses its target by half a document at most, and no document has more than MOST_COPIES.
     A null text has size 0 and a null source is a source. Rows are told apart by key, then text hash; rows equal in both
-    are interchangeable and each counts. Empty texts take no words and no positions. Reruns agree. An empty table gives
-    an empty one.
+    are interchangeable and each counts. The order within a source is by a digest of key and text, so copies of a text
+    and rows of one key are dealt apart. Empty texts take no words and no positions. Reruns agree. An empty table gives
+    an empty one. Other columns are not read. A long text costs its length.
     """
-    base = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(F.col(key), F.lit(17)).alias("h1"), F.xxhash64(whole_text(text)).alias("h2"))
+    of_text = F.md5(whole_text(text).cast("binary"))
+    hashed = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size_of(text).alias("size"), of_text.alias("m"))
+    of_row = F.md5(F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), F.col("m")).cast("binary"))
+    base = hashed.select("key", "source", "size", _number(of_row).alias("h1"), _number(F.col("m")).alias("h2"))
     sized = written(base.withColumn("slice", F.pmod("h1", F.lit(SLICES))), "mix-sizes")
     by_slice = sized.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     by_slice = written(by_slice, "mix-slices")
