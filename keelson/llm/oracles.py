@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _spans(kind: str, rank: int, pattern: str, needs: str = "true", passes: str = "true", lead: bool = False) -> str:
-    """Rows (rid, rank, kind, s, e) of a pattern's matches in d(rid, t); with ``lead`` group 1 isn't part of the span."""
+    """Rows (rid, rank, kind, s, e, v) of a pattern's matches in d(rid, t); with ``lead`` group 1 isn't part of the span."""
     body = f"length(regexp_extract(v, '{pattern}', 1))" if lead else "0"
-    return f"""SELECT rid, {rank} AS rank, '{kind}' AS kind, st + {body} AS s, st + length(v) AS e FROM (
+    return f"""SELECT rid, {rank} AS rank, '{kind}' AS kind, st + {body} AS s, st + length(v) AS e, v FROM (
       SELECT rid, m[i] AS v, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS st
       FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM d WHERE {needs}), UNNEST(range(1, len(m) + 1)) AS u(i)) WHERE {passes}"""
 
@@ -75,4 +75,32 @@ c AS (SELECT *, ({" + ".join(_COPY.format(k=k) for k in range(3))})::BIGINT AS c
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies, CASE WHEN copies > 0 THEN
   ((1 + tilt) - sqrt(greatest(0.0::DOUBLE, (1 + tilt) * (1 + tilt) - 4 * tilt * least(1.0::DOUBLE, start / target)))) / (2 * tilt) END AS first_position FROM c"""
 
-ORACLES = {"op3_secret_scan": SECRETS, "op5_source_mix": MIX, "op9_quality_rules": _quality()}
+_LUHN = "list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(g, length(g) - i + 1, 1)::INT ELSE 2 * substr(g, length(g) - i + 1, 1)::INT - CASE WHEN substr(g, length(g) - i + 1, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+PERSONAL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+raw AS (
+  {_spans("email", 0, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+")}
+  UNION ALL {_spans("ip", 1, "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", passes="len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0")}
+  UNION ALL {_spans("card", 2, "[0-9](?:[ -]?[0-9])+")}
+  UNION ALL {_spans("phone", 3, "[+][0-9][ ().0-9-]+[0-9]", passes="length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 9 AND 15")}),
+hits AS MATERIALIZED (SELECT * FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS g FROM raw) WHERE kind <> 'card' OR CASE WHEN length(g) BETWEEN 13 AND 19 THEN {_LUHN} ELSE false END),
+blanked AS (SELECT rid, array_to_string(list_transform(string_split(t, ''), lambda c, i: CASE WHEN len(list_filter(held, lambda h: h.s < i AND i <= h.e)) > 0 THEN ' ' ELSE c END), '') AS o FROM (SELECT rid, list({{'s': s, 'e': e}}) AS held FROM hits GROUP BY rid) JOIN d USING (rid)),
+o AS MATERIALIZED (SELECT d.rid, d.t AS text, coalesce(o, d.t) AS t FROM d LEFT JOIN blanked USING (rid)),
+terms AS MATERIALIZED (SELECT DISTINCT rid, lower(w) AS term FROM (SELECT rid, unnest(regexp_extract_all(t, '\\p{{L}}{{3,}}')) AS w FROM o)),
+members AS (SELECT kind || ':' || lower(v) AS entity, text, count(DISTINCT rid) AS n FROM hits JOIN o USING (rid) GROUP BY ALL),
+sets AS (SELECT entity, sum(n) AS n_entity, list(md5(text) ORDER BY md5(text)) AS texts FROM members GROUP BY entity),
+n_docs AS (SELECT count(*) AS n_docs FROM d),
+within_ AS (SELECT DISTINCT text, n_entity, texts, p, n_entity * pow(p, 0.9::DOUBLE - 1) * (1 + 1e-9::DOUBLE) AS most FROM (SELECT *, n_entity / greatest(n_docs::DOUBLE, n_entity + 1.0::DOUBLE) AS p FROM members JOIN sets USING (entity), n_docs)),
+n_term AS (SELECT term, count(*) AS n_term FROM terms GROUP BY term),
+words AS (SELECT text, term, count(*) AS n FROM terms JOIN o USING (rid) WHERE rid IN (SELECT rid FROM hits) GROUP BY ALL),
+pairs AS (SELECT term, n_term, p, texts, n_entity, sum(n) AS together, count(*) AS held FROM words JOIN n_term USING (term) JOIN within_ USING (text) WHERE n_term <= most GROUP BY ALL),
+disclosing AS MATERIALIZED (SELECT DISTINCT term FROM (SELECT *, 0.5::DOUBLE * together / held AS prior FROM pairs) WHERE 1 - ln(least(1.0::DOUBLE, (together + prior * p) / (n_term + prior))) / ln(p) >= 0.9::DOUBLE),
+marked AS (SELECT rid, 4 AS rank, 'term' AS kind, st AS s, st + length(v) AS e FROM (
+  SELECT rid, m[i] AS v, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS st
+  FROM (SELECT rid, regexp_extract_all(t, '\\p{{L}}{{3,}}') AS m, string_split_regex(t, '\\p{{L}}{{3,}}') AS p FROM o WHERE rid IN (SELECT rid FROM terms SEMI JOIN disclosing USING (term))), UNNEST(range(1, len(m) + 1)) AS u(i))
+  WHERE lower(v) IN (SELECT term FROM disclosing)),
+spans AS (SELECT rid, rank, kind, s, e FROM hits UNION ALL FROM marked),
+by_doc AS (SELECT rid, {", ".join(f"count(*) FILTER (rank = {n}) AS n_{k}" for n, k in enumerate(("email", "ip", "card", "phone")))},
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) FILTER (rank < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS spans FROM spans GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN by_doc USING (rid)"""
+
+ORACLES = {"op3_secret_scan": SECRETS, "op5_source_mix": MIX, "op6_pii": PERSONAL, "op9_quality_rules": _quality()}

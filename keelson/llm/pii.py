@@ -4,7 +4,9 @@ Protected entities are found by pattern. How strongly a term discloses one is es
 documents, PMI(entity; term) / -log p(entity) is 1 where the term is in no document without the entity and 0 where the
 two are independent. p(entity | term) is smoothed towards p(entity), so an entity of a single text counts, too, and
 more texts count for more. Terms whose strength for any entity exceeds a threshold are removed, those above a lower one
-generalised, wherever they stand, also in texts without the entity. DataFrame functions only.
+generalised, wherever they stand, also in texts without the entity. A term generalises to the class of all terms that
+begin alike, with the longest beginning whose class is in so many texts that it can't disclose the entities any more.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ TERM = r"\p{L}{3,}"
 #: p(entity | term) = 1 / 1.5, a strength over GENERALISE from 58 documents on.
 PRIOR = 0.5
 GENERALISE, REMOVE = 0.9, 0.98
+#: Letters of the beginnings that classes of terms are taken by; a term that no class hides becomes [TERM].
+BEGINNINGS = (1, 2, 3, 4)
 
 
 def _passes(kind: str, value: Column) -> Column:
@@ -107,7 +111,8 @@ def _entities() -> Column:
 
 
 def disclosing_terms(texts: DataFrame, least: float = GENERALISE) -> DataFrame:
-    """(term, strength) for terms whose strength is ``least`` or more for any entity; strength: the greatest.
+    """(term, strength, most) for terms whose strength is ``least`` or more for any entity; strength: the greatest;
+    most: a term in more documents can't disclose any of these entities.
 
     texts: one row a document, its text_hash, text and hits. Probabilities are over all documents and co-occurrence is
     that of whole texts; the prior weighs as much as PRIOR of the different texts, or a few copies would make any word
@@ -128,28 +133,42 @@ def disclosing_terms(texts: DataFrame, least: float = GENERALISE) -> DataFrame:
     n_term = texts.select(F.explode(_terms(_outside())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     words = held.select("text_hash", F.explode("terms").alias("term")).groupBy("text_hash", "term").agg(F.count(F.lit(1)).alias("n"))
     pairs = words.join(n_term, "term").join(within, "text_hash").where(F.col("n_term") <= F.col("most"))
-    pairs = pairs.groupBy(*group, "term", "n_term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
+    pairs = pairs.groupBy(*group, "most", "term", "n_term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
     prior = PRIOR * F.col("together") / F.col("texts")
     given = F.least(F.lit(1.0), (F.col("together") + prior * p_entity) / (F.col("n_term") + prior))
     strength = 1 - F.log(given) / F.log(p_entity)
-    return pairs.groupBy("term").agg(F.max(strength).alias("strength")).where(F.col("strength") >= least)
+    strong = pairs.select("term", "most", strength.alias("strength")).where(F.col("strength") >= least)
+    return strong.groupBy("term").agg(F.max("strength").alias("strength"), F.max("most").alias("most"))
+
+
+def _beginnings(term: Column) -> Column:
+    return F.array_distinct(F.array(*(F.substring(term, 1, n) for n in BEGINNINGS)))
+
+
+def generalised(texts: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """(term, mark): what stands for each disclosing term, nothing for one that is removed."""
+    classes = texts.select(F.explode(F.array_distinct(F.flatten(F.transform(_terms(_outside()), _beginnings)))).alias("beginning")).groupBy("beginning").agg(F.count(F.lit(1)).alias("n"))
+    options = disclosing.where(F.col("strength") < REMOVE).select("term", "most", F.explode(_beginnings(F.col("term"))).alias("beginning")).where("beginning <> term")
+    hidden = options.join(classes, "beginning").where("n > most").groupBy("term").agg(F.max_by("beginning", F.length("beginning")).alias("beginning"))
+    mark = F.when(F.col("strength") >= REMOVE, "").when(F.col("beginning").isNull(), "[TERM]").otherwise(F.concat(F.lit("["), "beginning", F.lit("*]")))
+    return disclosing.join(hidden, "term", "left").select("term", mark.alias("mark"))
 
 
 def told_terms(texts: DataFrame) -> DataFrame:
-    """(text_hash, told): the disclosing terms (term, removed) of every different text that has any."""
-    disclosing = written(disclosing_terms(texts), "pii-disclosing")
-    each = texts.select("text_hash", F.explode(_terms(_outside())).alias("term")).join(disclosing, "term")
-    each = each.groupBy("text_hash", "term").agg((F.max("strength") >= REMOVE).alias("removed"))
-    return each.groupBy("text_hash").agg(F.collect_list(F.struct("term", "removed")).alias("told"))
+    """(text_hash, told): the disclosing terms (term, mark) of every different text that has any."""
+    marks = written(generalised(texts, written(disclosing_terms(texts), "pii-disclosing")), "pii-marks")
+    each = texts.select("text_hash", F.explode(_terms(_outside())).alias("term")).join(marks, "term")
+    each = each.groupBy("text_hash", "term").agg(F.min("mark").alias("mark"))
+    return each.groupBy("text_hash").agg(F.collect_list(F.struct("term", "mark")).alias("told"))
 
 
 def _with_terms(texts: DataFrame, told: DataFrame) -> DataFrame:
-    """texts with the column terms: the spans (start, end, removed) of all occurrences of their disclosing terms."""
-    none = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
+    """texts with the column terms: the spans (start, end, mark) of all occurrences of their disclosing terms."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint,mark:string>>")
 
     def spans(text: Column, known: Column) -> Column:
-        span = lambda v, start: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), known[F.lower(v)].alias("removed"))
-        every = lambda v: F.when(F.size(v) > 0, F.filter(let(F.split(text, TERM, -1), lambda g: placed_matches(v, g, span)), lambda s: s["removed"].isNotNull())).otherwise(none)
+        span = lambda v, start: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), known[F.lower(v)].alias("mark"))
+        every = lambda v: F.when(F.size(v) > 0, F.filter(let(F.split(text, TERM, -1), lambda g: placed_matches(v, g, span)), lambda s: s["mark"].isNotNull())).otherwise(none)
         return let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), every)
 
     found = let(_outside(), lambda text: let(F.map_from_entries("told"), lambda known: spans(text, known)))
@@ -157,7 +176,7 @@ def _with_terms(texts: DataFrame, told: DataFrame) -> DataFrame:
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, email, ip, card, phone, terms): the spans of every row, by start; a term's say whether it is removed.
+    """(key, email, ip, card, phone, terms): the spans of every row, by start; a term's say what stands for it, nothing if it is removed.
 
     A null text is the empty text. Repeated rows and null keys keep their rows. Other columns are not read. An empty
     table gives an empty one. Spans of different kinds may overlap.
@@ -182,20 +201,20 @@ def joined_spans(*kinds: str) -> Column:
 
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the text sanitised, columns unchanged: entities become a mark of their kind, terms a mark or nothing.
+    """docs with the text sanitised, columns unchanged: entities become a mark of their kind, terms their class or nothing.
 
     Rows without a span keep their text, null included. Texts are read a few times and never shuffled unless the table
     of the terms told outgrows a broadcast.
     """
     told = written(told_terms(_hashed(docs.select(whole_text(text).alias("text")))), "pii-told")
-    inner = docs.withColumns({"_text": whole_text(text), "_all": F.struct(*[F.col(f"`{c}`") for c in docs.columns])}).select(F.col("_text").alias("text"), "_all")
+    inner = docs.select(whole_text(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
     rows = _with_terms(_hashed(inner), told)
 
     def mark(kind: str):
         return lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("mark"))
 
     marked = [F.transform(k, mark(k)) for k in KINDS]
-    marked.append(F.transform("terms", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.when(h["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("mark"))))
+    marked.append(F.transform("terms", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["mark"].alias("mark"))))
     piece = lambda s, d: F.when(s["start"] >= d, F.concat(_at("text", d, s["start"]), s["mark"])).otherwise(F.lit(""))
     clean = let(F.array_sort(F.concat(*marked)), lambda spans: F.when(F.size(spans) > 0, _rebuilt(spans, piece)).otherwise(F.col("_all")[text]))
     return rows.select(*[(clean if c == text else F.col("_all")[c]).alias(c) for c in docs.columns])
