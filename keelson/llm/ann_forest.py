@@ -3,10 +3,11 @@
 Every vector gets one long string of hash bits for each tree, the signs of its projections on random directions. A tree
 is the sorted array of these strings. A query descends in each tree to the longest prefix it shares with any string,
 which ends at another depth in every tree; then all trees ascend together, one bit of prefix at a time, and take in the
-strings below, until enough candidates are there. Candidates are then ranked by their cosine.
+strings below, until the budget of candidates is there. The cosines of the candidates, and of no other row, are taken,
+and rank them.
 
-Rows are dealt by hash into shards of bounded size, each with its own trees, and the query set goes to all shards in
-blocks; the best of a query's candidates from all shards are its result.
+Rows are dealt by hash, once, into shards of bounded size, each with its own trees; the query set goes to every shard and
+streams past its trees in blocks. The best of a query's candidates from all shards are its result.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import written
 
-TREES, BITS = 24, 32
-SHARD_ROWS, QUERY_ROWS = 4096, 1024
-#: Share of a shard's vectors that a query takes as candidates before it stops ascending. Vectors of 64 independent
-#: dimensions have no near neighbours to speak of, and a smaller share would miss them.
-CANDIDATES = 0.6
+TREES, BITS = 96, 32
+SHARD_ROWS, QUERY_ROWS = 16_384, 512
+#: Candidates of a query in each shard: it ascends until it has so many. The README has what other budgets find.
+CANDIDATES = 3072
 SEED = 20
 
 
@@ -84,54 +84,92 @@ def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
-def _nearest(k: int, share: float):
-    def run(cell: pa.Table) -> pa.Table:
-        ids, asks = cell["id"].to_numpy(), np.array(cell["ask"].to_pylist(), bool)
-        vectors = np.array(cell["vector"].to_pylist(), np.float64).reshape(len(ids), -1)
-        rows, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
-        out: list[tuple[int, int, float]] = []
-        if len(rows) and len(queries):
-            rows = rows[np.argsort(ids[rows], kind="stable")]
+class _Shard:
+    """The rows of one shard and, once a query comes, their forest."""
+
+    def __init__(self, of: tuple[int, int]):
+        self.of, self.ids, self.vectors, self.forest = of, [], [], None
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.vectors.append(vectors)
+
+    def close(self, trees: bool) -> None:
+        if self.forest is None and self.ids:
+            ids, vectors = np.concatenate(self.ids), np.concatenate(self.vectors)
+            order = np.argsort(ids, kind="stable")
             # Equal vectors are one entry of the trees; of their rows only the first k and the query's own can matter.
-            distinct, where = np.unique(vectors[rows], axis=0, return_inverse=True)
+            self.distinct, where = np.unique(vectors[order], axis=0, return_inverse=True)
             where = where.reshape(-1)
-            grouped = rows[np.argsort(where, kind="stable")]
-            starts = np.searchsorted(np.sort(where), np.arange(len(distinct) + 1))
-            unit = distinct / np.linalg.norm(distinct, axis=1, keepdims=True)
-            forest = Forest(unit)
-            asked = vectors[queries] / np.linalg.norm(vectors[queries], axis=1, keepdims=True)
-            taken = forest.candidates(asked, max(8 * (k + 1), int(share * len(distinct))))
-            close = np.where(taken, asked @ unit.T, -np.inf)
-            for n, q in enumerate(queries):
-                some = min(k + 8, len(distinct))
-                top = np.argpartition(-close[n], some - 1)[:some]
-                floor = np.sort(close[n][top])[-min(k + 1, some)] - 1e-9
-                top = np.flatnonzero((close[n] >= floor) & taken[n])
-                exact = cosines(vectors[q], distinct[top])
-                best = [(-s, ids[r], s) for s, d in zip(exact, top, strict=True) for r in grouped[starts[d] : min(starts[d] + k + 1, starts[d + 1])] if ids[r] != ids[q]]
-                out += [(ids[q], i, s) for _, i, s in sorted(best)[:k]]
-        return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.float64())})
+            self.rows = ids[order][np.argsort(where, kind="stable")]
+            self.starts = np.searchsorted(np.sort(where), np.arange(len(self.distinct) + 1))
+            self.unit = self.distinct / np.linalg.norm(self.distinct, axis=1, keepdims=True)
+            self.forest = Forest(self.unit) if trees else True
+            self.ids = self.vectors = []
+
+    def nearest(self, ids: np.ndarray, vectors: np.ndarray, k: int, budget: int | None) -> list[tuple[int, int, float]]:
+        self.close(budget is not None)
+        if self.forest is None:
+            return []
+        asked = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        taken = self.forest.candidates(asked, max(8 * (k + 1), budget)) if budget is not None else None
+        out: list[tuple[int, int, float]] = []
+        for n, q in enumerate(ids.tolist()):
+            some = np.flatnonzero(taken[n]) if budget is not None else np.arange(len(self.distinct))
+            close = self.unit[some] @ asked[n] if budget is not None else self.unit @ asked[n]
+            # What could be among the k + 1 best for all that rounding does; then exactly.
+            floor = np.partition(close, -min(k + 1, len(close)))[-min(k + 1, len(close))] - 1e-9
+            top = some[close >= floor]
+            exact = cosines(vectors[n], self.distinct[top])
+            best = [(-s, i, s) for s, d in zip(exact, top, strict=True) for i in self.rows[self.starts[d] : min(self.starts[d] + k + 1, self.starts[d + 1])].tolist() if i != q]
+            out += [(q, i, s) for _, i, s in sorted(best)[:k]]
+        return out
+
+
+def _nearest(k: int, budget: int | None):
+    """Rows (dim, shard, ask, id, vector), a shard's own before its queries, to (query_id, vec_id, score)."""
+
+    def run(batches):
+        shard = _Shard((-1, -1))
+        for batch in batches:
+            dim, number, asks, ids = (batch.column(n).to_numpy(zero_copy_only=False) for n in range(4))
+            vectors = batch.column(4)
+            cuts = np.flatnonzero((dim[1:] != dim[:-1]) | (number[1:] != number[:-1]) | (asks[1:] != asks[:-1])) + 1
+            edges = np.unique(np.concatenate([[0, batch.num_rows], cuts, np.arange(0, batch.num_rows, QUERY_ROWS)]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if (dim[a], number[a]) != shard.of:
+                    shard = _Shard((dim[a], number[a]))
+                piece = vectors.slice(a, b - a).flatten().to_numpy().reshape(b - a, dim[a])
+                if not asks[a]:
+                    shard.add(ids[a:b], piece)
+                    continue
+                found = shard.nearest(ids[a:b], piece, k, budget)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64())], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", share: float = CANDIDATES) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", budget: int | None = CANDIDATES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k nearest others found, ties to the smaller id.
 
-    Vectors that are null, zero, or hold a null or non-finite component take no part, and rows with a null id neither.
-    Rows of one id and vector are one; an id is never its own neighbour. Vectors of another length than most are another
-    space: each length is searched by itself. With fewer other rows than k all are found. An empty table gives an
-    empty one. Memory of a task: one shard and one block of queries.
+    ``budget``: candidates of a query in a shard; None looks at every row, which is exact. Vectors that are null, zero,
+    or hold a null or non-finite component take no part, and rows with a null id neither. Rows of one id and vector are
+    one; an id is never its own neighbour. Vectors of another length than most are another space: each length is
+    searched by itself. With fewer other rows than k all are found. An empty table gives an empty one. Other columns are
+    not read. Memory of a task: one shard, its trees and one block of queries.
     """
     good = vectors.where(F.col(key).isNotNull() & _usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("ask")).dropDuplicates(["id", "vector"])
     good = written(good, "ann-vectors")
-    n, asks = good.agg(F.count(F.lit(1)), F.count_if("ask")).first()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asks // QUERY_ROWS))
+    shards = max(1, -(-good.count() // SHARD_ROWS))
     dealt = good.withColumn("dim", F.size("vector"))
-    number = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    rows = dealt.select("dim", number(shards, 1).alias("shard"), every(blocks).alias("block"), "id", "vector", F.lit(False).alias("ask"))
-    queries = dealt.where("ask").select("dim", every(shards).alias("shard"), number(blocks, 2).alias("block"), "id", "vector", F.lit(True).alias("ask"))
-    found = rows.unionByName(queries).groupBy("dim", "shard", "block").applyInArrow(_nearest(k, share), "query_id bigint, vec_id bigint, score double")
+    rows = dealt.select("dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("ask"), "id", "vector")
+    queries = dealt.where("ask").select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("ask"), "id", "vector")
+    together = rows.unionByName(queries).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "ask", "id")
+    found = together.mapInArrow(_nearest(k, budget), "query_id bigint, vec_id bigint, score double")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def exact(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """What search() approximates: every cosine of the query set with all rows, in blocks."""
+    return search(vectors, is_query, k, key, vector, None)

@@ -250,6 +250,25 @@ def test_forest_recall_and_ties(spark):
     assert len(got) == 31 and hits >= 0.9 * 5 * len(got)
     assert [v for _, v, _ in sorted(got[3])] == [700, 701, 702, 703, 704]
     assert ann_forest.search(vectors.limit(0), F.lit(True)).count() == 0
+    # A budget under the table's size finds most, and every score is a true one; without any the search is exact.
+    asks = F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False))
+    best = {(r["query_id"], r["vec_id"]): r["score"] for r in ann_forest.exact(vectors, asks).collect()}
+    for q in range(0, 1500, 50):
+        near = unit @ unit[q]
+        near[q] = -2
+        assert {v for p, v in best if p == q} == set(np.lexsort((np.arange(len(x)), -near.round(12)))[:5].tolist())
+    few = {(r["query_id"], r["vec_id"]) for r in ann_forest.search(vectors, asks, budget=200).collect()}
+    assert 0.6 < len(few & set(best)) / len(best) < 1
+
+
+@pytest.mark.parametrize("extra", [[], [(None, [1.0] * 8), (7, [0.5] * 8), (7, [0.5] * 8)]])
+def test_forest_in_many_shards(spark, monkeypatch, extra):
+    monkeypatch.setattr(ann_forest, "SHARD_ROWS", 64)
+    rng = np.random.default_rng(5)
+    rows = [(n, rng.standard_normal(8).round(2).tolist()) for n in range(300)] + [(300 + n, rng.standard_normal(5).tolist()) for n in range(40)] + extra
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("dim", F.lit(0)).withColumn("shard", F.lit(0))
+    got = sorted(map(tuple, ann_forest.search(vectors, F.col("vec_id") % 7 == 0, budget=400).collect()))
+    assert got == sorted(map(tuple, ann_forest.exact(vectors, F.col("vec_id") % 7 == 0).collect())) and len(got) == 5 * 49
 
 
 def test_pipeline_on_the_smallest_table(spark):
