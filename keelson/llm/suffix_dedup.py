@@ -2,14 +2,17 @@
 
 Two equal strings of LENGTH bytes have the same minimizer, the gram of least hash in them. So the table is first cut
 down to minimizers that occur more than once, each standing for the segment of all strings around it. Segments equal to
-an earlier one are removed whole. Where a minimizer stands in different segments, these go to a shard: its suffixes are
-classified, the leftmost-smaller substrings sorted by induction and named, names sorted recursively, the shard's suffix
+an earlier one are removed whole. Where a minimizer stands in different segments, these go to a shard; those of one that
+is too frequent for a shard are first cut again, by their minimizers under another hash, so that more context tells
+them apart. A shard's suffixes are classified, the leftmost-smaller substrings sorted by induction and named, names sorted recursively, the shard's suffix
 array induced from them in linear time, and common prefixes computed in text order. In each run of suffixes that share
 LENGTH bytes the first by document stays.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,8 +26,9 @@ LENGTH, GRAM = 100, 20
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of segments in one suffix array.
 SHARD_BYTES = 1_000_000
-#: A minimizer in more different segments than this has its strings compared by hash, spread over all tasks.
-MOST_SEGMENTS = 4096
+#: Bytes of different segments around one minimizer beyond which they are cut again, and how often at most. What is too
+#: much even then, strings that differ in a few bytes only, is compared string by string, by two hashes.
+GRAM_BYTES, CUTS = 500_000, 6
 
 
 # -- suffix arrays ----------------------------------------------------------------------------------------------------
@@ -151,7 +155,7 @@ def shares_prefix(raw: np.ndarray, left: np.ndarray, sa: np.ndarray, length: int
 # -- minimizers -------------------------------------------------------------------------------------------------------
 
 
-def minimizers(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def minimizers(raw: bytes, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gram hashes, starts, sizes): the minimizers, and the segments of the strings of LENGTH bytes that have them.
 
     A string's minimizer is the leftmost of its least grams. Strings that follow one another share it, so each string
@@ -168,6 +172,7 @@ def minimizers(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         width *= 2
         hashes[width] = h
     gram = hashes[16][:n] * np.uint64(pow(base, 4, 2**64)) + hashes[4][16 : 16 + n]
+    gram += np.uint64(turn * 0xD1B54A32D192ED03 % 2**64)
     gram ^= gram >> np.uint64(29)
     gram *= np.uint64(0xBF58476D1CE4E5B9)
     gram ^= gram >> np.uint64(32)
@@ -250,6 +255,28 @@ def _cut(wanted: DataFrame, kind: str) -> DataFrame:
     return map_rows(wanted, f"key {kind}, text_hash bigint, gram bigint, start bigint, raw binary", make)
 
 
+def _cut_again(rows: DataFrame, kind: str, turn: int) -> DataFrame:
+    """Segments (key, text_hash, gram, start, raw) cut by their minimizers under another hash; gram: of both."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            index, grams, starts, segments, raws = [], [], [], [], []
+            for n, (gram, start, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                for g, at, size in zip(*(x.tolist() for x in minimizers(raw, turn)), strict=True):
+                    piece = raw[at : at + size]
+                    index.append(n)
+                    grams.append(xxhash.xxh3_64_intdigest(gram.to_bytes(8, "little", signed=True) + g.to_bytes(8, "little", signed=True)) - (1 << 63))
+                    starts.append(start + at)
+                    segments.append(xxhash.xxh3_64_intdigest(piece) - (1 << 63))
+                    raws.append(piece)
+            at = pa.array(index, pa.int32())
+            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(grams, pa.int64()), pa.array(segments, pa.int64()), pa.array(starts, pa.int64()), pa.array(raws, pa.binary())], ["key", "text_hash", "gram", "segment", "start", "raw"])
+
+        return step
+
+    return map_rows(rows.select("key", "text_hash", "gram", "start", "raw"), f"key {kind}, text_hash bigint, gram bigint, segment bigint, start bigint, raw binary", make)
+
+
 def repeats_of(raws: list[bytes], order: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
     """(segment, start, end) of what repeats an earlier string; order ranks the segments' documents."""
     sizes = np.fromiter(map(len, raws), np.int32, len(raws))
@@ -342,8 +369,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     Removed is each byte under a string of LENGTH bytes that also starts earlier: in a row of smaller key, or of the same
     key and smaller text hash, or earlier in the row. Null keys come last; a null text is the empty one. Rows equal in
-    key and text are one document, and each gets its result. Other columns are not read. An empty table gives an empty
-    one.
+    key and text are one document, and each gets its result. Other columns are not read, whatever they are called. An
+    empty table gives an empty one. Segments count as equal by two 64-bit hashes, of the minimizer and of all their bytes.
+    A very long text is held by one task a few times over, in bytes and 64-bit hashes of its places.
     """
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.col(key).alias("key"), F.xxhash64(whole_text(text)).alias("text_hash"), whole_text(text).alias("text"))
@@ -355,7 +383,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     # Whole segments that repeat an earlier one.
     twins = hits.join(firsts.where("n > 1").select("gram", "segment", "first"), ["gram", "segment"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + F.col("size")).alias("end"))
     # Different segments around one gram; their bytes are cut from the texts.
-    mixed = written(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1").select("gram", (F.col("segments") > MOST_SEGMENTS).alias("crowded")), "suffix-mixed")
+    mixed = written(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("segments"), F.sum("size").alias("bytes")).where("segments > 1").select("gram", (F.col("bytes") > GRAM_BYTES).alias("crowded")), "suffix-mixed")
     wanted = written(firsts.join(mixed, "gram").select(F.col("first.key").alias("k"), F.col("first.text_hash").alias("h"), "gram", F.col("first.start").alias("start"), "size", "crowded"), "suffix-wanted")
     same_doc = (F.col("text_hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k"))
 
@@ -364,13 +392,27 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         of_doc = wanted.where(F.col("crowded") == crowded).groupBy("k", "h").agg(F.collect_list(F.struct("gram", "start", "size")).alias("segments"))
         return _cut(named.join(of_doc, same_doc).select("key", "text_hash", "text", "segments"), kind)
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = cut(False).select("gram", "key", "text_hash", "start", "raw").repartition(n, "gram").sortWithinPartitions("gram")
-    in_shards = few.mapInArrow(_shards, f"key {kind}, text_hash bigint, start bigint, end bigint")
-    strings = cut(True).select("key", "text_hash", F.col("start").alias("begin"), "raw", F.explode(F.sequence(F.lit(0), F.octet_length("raw") - LENGTH)).alias("o"))
-    strings = strings.select("key", "text_hash", (F.col("begin") + F.col("o")).alias("start"), F.xxhash64(F.substring("raw", F.col("o") + 1, F.lit(LENGTH))).alias("s1"), F.crc32(F.substring("raw", F.col("o") + 1, F.lit(LENGTH))).alias("s2"))
-    first_of = strings.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("s1", "s2", "first")
-    crowded = strings.join(first_of, ["s1", "s2"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + LENGTH).alias("end"))
-    gone = twins.unionByName(in_shards).unionByName(crowded).groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    few, removed = cut(False), [twins]
+    many = written(cut(True), "suffix-crowded") if mixed.where("crowded").limit(1).count() else None
+    for turn in range(1, CUTS + 1):
+        if many is None:
+            break
+        again = written(_cut_again(many, kind, turn), "suffix-again", (many,))
+        # The first of equal segments, with its bytes.
+        each = written(again.groupBy("gram", "segment").agg(F.min(F.struct(place.alias("place"), F.col("raw"))).alias("first"), F.count(F.lit(1)).alias("n")), "suffix-firsts")
+        repeats = each.where("n > 1").select("gram", "segment", F.col("first.place").alias("first"))
+        removed.append(again.join(repeats, ["gram", "segment"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + F.octet_length("raw")).alias("end")))
+        held = each.groupBy("gram").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.octet_length("first.raw")).alias("bytes")).where("segments > 1").select("gram", (F.col("bytes") > GRAM_BYTES).alias("crowded"))
+        left = written(each.join(written(held, "suffix-mixed"), "gram").select(F.col("first.place.key").alias("key"), F.col("first.place.text_hash").alias("text_hash"), "gram", F.col("first.place.start").alias("start"), F.col("first.raw").alias("raw"), "crowded"), "suffix-left")
+        few = few.unionByName(left.where("not crowded").drop("crowded"))
+        many = left.where("crowded").drop("crowded") if left.where("crowded").limit(1).count() else None
+    if many is not None:
+        strings = many.select("key", "text_hash", F.col("start").alias("begin"), "raw", F.explode(F.sequence(F.lit(0), F.octet_length("raw") - LENGTH)).alias("o"))
+        strings = strings.select("key", "text_hash", (F.col("begin") + F.col("o")).alias("start"), F.xxhash64(F.substring("raw", F.col("o") + 1, F.lit(LENGTH))).alias("s1"), F.crc32(F.substring("raw", F.col("o") + 1, F.lit(LENGTH))).alias("s2"))
+        first_of = strings.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("s1", "s2", "first")
+        removed.append(strings.join(written(first_of, "suffix-strings"), ["s1", "s2"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + LENGTH).alias("end")))
+    in_order = few.select("gram", "key", "text_hash", "start", "raw").repartition("gram").sortWithinPartitions("gram")
+    removed.append(in_order.mapInArrow(_shards, f"key {kind}, text_hash bigint, start bigint, end bigint"))
+    gone = reduce(DataFrame.unionByName, removed).groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     rows = named.join(gone, same_doc, "left").select("key", "text", "gone")
     return _kept(rows, kind).withColumnRenamed("key", key)

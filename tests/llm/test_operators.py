@@ -177,8 +177,10 @@ def test_suffix_dedup(spark, docs, none, monkeypatch):
     want = brute.removed([(n, (t or "").encode()) for n, t in enumerate(TEXTS)])
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"], brute.sha(bytes(r["kept"]))) for r in suffix_dedup.dedup(docs).collect()}
     assert got == want
-    monkeypatch.setattr(suffix_dedup, "MOST_SEGMENTS", 1)  # the way for crowded minimizers
-    assert {r["doc_id"]: (r["n_removed"], r["n_spans"], brute.sha(bytes(r["kept"]))) for r in suffix_dedup.dedup(docs).collect()} == want
+    for bytes_, cuts in ((400, 6), (1, 1)):  # frequent minimizers are cut again, or compared string by string
+        monkeypatch.setattr(suffix_dedup, "GRAM_BYTES", bytes_)
+        monkeypatch.setattr(suffix_dedup, "CUTS", cuts)
+        assert {r["doc_id"]: (r["n_removed"], r["n_spans"], brute.sha(bytes(r["kept"]))) for r in suffix_dedup.dedup(docs).collect()} == want
     assert suffix_dedup.dedup(none).count() == 0
 
 
