@@ -8,6 +8,7 @@ there as the dot product of its sparse counts and the weights.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,17 +66,16 @@ def chance(value: float) -> float:
     return float(1 / (1 + np.exp(-min(35.0, max(-35.0, value)))))
 
 
-def train(rows: list[tuple[np.ndarray, int]], rule: Ftrl = Ftrl(), epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after ``epochs`` passes over (sparse counts, label) rows in the given order."""
+def train(rows: Iterable[tuple[np.ndarray, int]], rule: Ftrl = Ftrl()) -> np.ndarray:
+    """Weights after one update for each (sparse counts, label), in the given order; no row is held."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for _ in range(epochs):
-        for (coordinates, counts), label in rows:
-            at, x = np.append(0, coordinates), np.append(1.0, counts / np.sqrt(counts.sum()))
-            w = _weights(z[at], n[at], rule)
-            gradient = (chance(float(w @ x)) - label) * x
-            squares = gradient * gradient
-            z[at] += gradient - (np.sqrt(n[at] + squares) - np.sqrt(n[at])) / rule.alpha * w
-            n[at] += squares
+    for (coordinates, counts), label in rows:
+        at, x = np.append(0, coordinates), np.append(1.0, counts / np.sqrt(counts.sum()))
+        w = _weights(z[at], n[at], rule)
+        gradient = (chance(float(w @ x)) - label) * x
+        squares = gradient * gradient
+        z[at] += gradient - (np.sqrt(n[at] + squares) - np.sqrt(n[at])) / rule.alpha * w
+        n[at] += squares
     return _weights(z, n, rule).astype(np.float32)
 
 
@@ -92,30 +92,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     """Weights from the labelled rows that aren't held out.
 
     Ids with contradicting labels, null labels and null ids are left out. Without any row all weights are 0, and every
-    score is 0.5. At most ``rows`` labelled ids take part (memory of the one task that trains).
+    score is 0.5. At most ``rows`` labelled ids take part, each with one text, the one of least hash if an id is there
+    with several. The one task that trains streams past them once for each epoch and holds the weights and a batch: a
+    text is at most 2 ** BITS coordinates, however long.
     """
     agreed = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
     # The order is by a hash of the id: as good as random, and the same in every run.
     chosen = agreed.select(F.col(key).alias("key"), F.col("y").cast("int").alias("y"), F.xxhash64(key).alias("turn")).orderBy("turn", "key").limit(rows)
-    sample = docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).join(F.broadcast(chosen), "key").select("turn", "key", "y", "text")
+    sample = docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).join(F.broadcast(chosen), "key").select("turn", "key", "y", F.xxhash64("text").alias("h"), "text")
 
     def featurized():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = [sparse(features(x)).tobytes() for x in batch.column(3).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["turn", "y", "packed"])
+            packed = [sparse(features(x)).tobytes() for x in batch.column(4).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(packed, pa.binary())], ["turn", "key", "y", "h", "packed"])
 
         return step
 
     def trained(batches):
-        # The counts stay where Arrow put them; a row is a view.
-        data = [(np.frombuffer(p.as_buffer(), np.uint32).reshape(2, -1), y.as_py()) for b in batches for y, p in zip(b.column(1), b.column(2), strict=True)]
-        weights = train(data).tobytes()
-        del data
-        pa.default_memory_pool().release_unused()
-        yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary())], ["weights"])
-
-    one_task = map_rows(sample, "turn bigint, y int, packed binary", featurized).repartition(1).sortWithinPartitions("turn", "packed")
-    found = one_task.mapInArrow(trained, T.StructType([T.StructField("weights", T.BinaryType())])).collect()
+        rows = ((np.frombuffer(p.as_buffer(), np.uint32).reshape(2, -1), y.as_py()) for b in batches for y, p in zip(b.column(1), b.column(2), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([train(rows).tobytes()], pa.binary())], ["weights"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    counted = map_rows(sample, f"turn bigint, key {kind}, y int, h bigint, packed binary", featurized)
+    one_each = counted.groupBy("turn", "key", "y").agg(F.min_by("packed", "h").alias("packed"))
+    epochs = one_each.select(F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch"), "turn", "key", "y", "packed")
+    in_order = epochs.repartition(1).sortWithinPartitions("epoch", "turn", "key").select("epoch", "y", "packed")
+    found = in_order.mapInArrow(trained, T.StructType([T.StructField("weights", T.BinaryType())])).collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros(1 << BITS, np.float32)
 
 

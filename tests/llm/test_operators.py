@@ -66,7 +66,12 @@ def test_token_counts_are_the_librarys(docs, none, monkeypatch):
     counter = token_counts.TokenCounter(path)
     for chunk in (1, 5, 64):
         monkeypatch.setattr(token_counts, "CHUNK_CHARS", chunk)
-        assert [counter.count(t or "") for t in TEXTS] == [want[n][1] for n in range(len(TEXTS))]
+        monkeypatch.setattr(token_counts, "WORD_CHUNK", chunk)
+        monkeypatch.setattr(token_counts, "LOOK_BACK", (2,) if chunk < 64 else (16, 32))
+        assert [token_counts.TokenCounter(path).count(t or "") for t in TEXTS] == [want[n][1] for n in range(len(TEXTS))]
+    rnd = random.Random(4)
+    for word in ("".join(rnd.choice("etaoinshrdlu") for _ in range(5000)), "antidisestablishmentarianism" * 200, "é" * 700 + "banana" * 300):
+        assert counter.count(word) == len(library.encode(word, add_special_tokens=False).ids)
 
 
 def test_secret_scan_and_its_ledger(spark, docs, none):
@@ -234,6 +239,24 @@ def test_classifier_learns(spark):
     assert set(by_id(quality_classifier.score(docs, quality_classifier.fit(docs, labels.limit(0))), "score").values()) == {(0.5,)}
 
 
+def test_training_is_plain_ftrl(monkeypatch):
+    monkeypatch.setattr(quality_classifier, "BITS", 6)
+    rnd, rule = random.Random(8), quality_classifier.Ftrl()
+    rows = [(np.array(sorted(rnd.sample(range(1, 64), 9))), np.array([rnd.randint(1, 4) for _ in range(9)]), rnd.randint(0, 1)) for _ in range(200)]
+    z, n = [0.0] * 64, [0.0] * 64
+    weight = lambda i: 0.0 if abs(z[i]) <= rule.l1 else -(z[i] - np.sign(z[i]) * rule.l1) / ((rule.beta + n[i] ** 0.5) / rule.alpha + rule.l2)
+    for at, counts, label in rows:
+        x = {0: 1.0} | {int(i): c / counts.sum() ** 0.5 for i, c in zip(at, counts, strict=True)}
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+        for i in x:
+            g = (p - label) * x[i]
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / rule.alpha * w[i]
+            n[i] += g * g
+    got = quality_classifier.train((np.stack([a, c]), y) for a, c, y in rows)
+    assert np.allclose(got, [weight(i) for i in range(64)], atol=1e-6) and np.count_nonzero(got) > 20
+
+
 def test_forest_recall_and_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((1500, 64)).astype("float32")
