@@ -17,7 +17,7 @@ PREDICTED_AT = 0.7
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    done = byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path, pattern), path, pattern)
+    done = byte_bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"), path, pattern)
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
