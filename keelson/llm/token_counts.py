@@ -7,8 +7,10 @@ transition reads a symbol and emits how many tokens more (or fewer) the word has
 if no merge crosses their seam, so each prefix of a word has exactly one last token, and merging by rank gives the same.
 
 White space resets the transducer. A text is cut into chunks anywhere; each chunk becomes a state map: for a chunk with
-white space in it all start states meet there, so the map is the open head, the count between, and the open tail. Maps
-compose associatively, and a text's count is the composition of its chunks' maps in a tree.
+white space in it all start states meet there, so the map is the open head, the count between, and the open tail. Inside
+one long word nothing resets, and a chunk's map goes from start state to end state and count, for the states that the
+symbols before it lead to from several places; a start state that isn't among them is added when a composition asks for
+it, so the map is exact. Maps compose associatively, and a count is the composition of all maps in a tree.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from keelson.llm.common import map_rows, whole_text
 CHUNK_CHARS = 65_536
 MEMO_WORDS = 1_000_000
 MEMO_CHARS = 64
+#: Symbols of a word beyond which it is counted by chunk maps, and how far before a chunk its start states are looked for.
+WORD_CHUNK = 16_384
+LOOK_BACK = (16, 32, 64)
 STATES = 200_000
 NEVER = 1 << 40
 
@@ -39,6 +44,10 @@ _ASCII_WORDS_OF = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L
 _ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
+#: No token yet, and none that grows.
+START = (None, ())
+
+
 class WordTransducer:
     """Counts the tokens of a word, given as a string of byte characters; ``end`` marks a word's last symbol."""
 
@@ -79,7 +88,7 @@ class WordTransducer:
         self.token_at[node] = token
 
     def _start_over(self) -> None:
-        self.states: list[tuple] = [(None, ())]
+        self.states: list[tuple] = [START]
         self.number: dict[tuple, int] = {self.states[0]: 0}
         self.arcs: list[dict[str, tuple[int, int]]] = [{}]
 
@@ -89,12 +98,31 @@ class WordTransducer:
         if not word:
             return 0
         arcs, state, total = self.arcs, 0, 0
-        for symbol in word[:-1]:
-            state, emitted = arcs[state].get(symbol) or self._compile(state, symbol)
-            total += emitted
+        if len(word) > WORD_CHUNK:
+            end, total = self.scanned(word[:-1])
+            state = self._numbered(end)
+        else:
+            for symbol in word[:-1]:
+                state, emitted = arcs[state].get(symbol) or self._compile(state, symbol)
+                total += emitted
         symbol = word[-1] + self.end
         return total + (arcs[state].get(symbol) or self._compile(state, symbol))[1]
 
+    def run(self, start: tuple, symbols: str) -> tuple[tuple, int]:
+        """The end state and the count from a start state."""
+        arcs, state, total = self.arcs, self._numbered(start), 0
+        for symbol in symbols:
+            state, emitted = arcs[state].get(symbol) or self._compile(state, symbol)
+            total += emitted
+        return self.states[state], total
+
+    def scanned(self, symbols: str) -> tuple[tuple, int]:
+        """run() from the first state, as the composition of the maps of the chunks."""
+        maps = [ChunkMap(self, symbols[at : at + WORD_CHUNK], [START] if at == 0 else [self.run(START, symbols[max(0, at - n) : at])[0] for n in LOOK_BACK]) for at in range(0, len(symbols), WORD_CHUNK)]
+        while len(maps) > 1:
+            maps = [ComposedMap(*maps[n : n + 2]) if n + 1 < len(maps) else maps[n] for n in range(0, len(maps), 2)]
+        return maps[0].from_state(START)
+
     def _compile(self, state: int, symbol: str) -> tuple[int, int]:
         last, growing = self.states[state]
         chosen, emitted, grown = None, 0, []
@@ -109,13 +137,16 @@ class WordTransducer:
         if chosen is None:
             raise ValueError(f"the vocabulary has no token for {symbol!r}")
         found = (chosen, tuple((node, before, behind + emitted) for node, before, behind in grown if self.trie[node]))
-        if found not in self.number:
-            self.number[found] = len(self.states)
-            self.states.append(found)
-            self.arcs.append({})
-        self.arcs[state][symbol] = arc = (self.number[found], emitted)
+        self.arcs[state][symbol] = arc = (self._numbered(found), emitted)
         return arc
 
+    def _numbered(self, state: tuple) -> int:
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+            self.arcs.append({})
+        return self.number[state]
+
     # -- which tokens can stand side by side --------------------------------------------------------------------------
 
     def _halves(self, token: tuple[str, ...]) -> tuple | None:
@@ -163,6 +194,37 @@ class WordTransducer:
         return ok
 
 
+class ChunkMap:
+    """What a chunk inside a word does: (end state, count) by start state."""
+
+    def __init__(self, transducer: WordTransducer, symbols: str, starts: list[tuple]):
+        self.transducer, self.symbols = transducer, symbols
+        self.known = {x: transducer.run(x, symbols) for x in set(starts)}
+
+    def from_state(self, start: tuple) -> tuple[tuple, int]:
+        if start not in self.known:
+            self.known[start] = self.transducer.run(start, self.symbols)
+        return self.known[start]
+
+
+class ComposedMap:
+    """One map after another."""
+
+    def __init__(self, first: ChunkMap | ComposedMap, second: ChunkMap | ComposedMap):
+        self.first, self.second = first, second
+        self.known = {x: self._through(x) for x in first.known}
+
+    def _through(self, start: tuple) -> tuple[tuple, int]:
+        middle, n = self.first.from_state(start)
+        end, m = self.second.from_state(middle)
+        return end, n + m
+
+    def from_state(self, start: tuple) -> tuple[tuple, int]:
+        if start not in self.known:
+            self.known[start] = self._through(start)
+        return self.known[start]
+
+
 class StateMap(NamedTuple):
     """What a chunk does. Without white space in it: all of it is head and ``count`` is -1."""
 
@@ -258,7 +320,8 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     """(key, n_bytes, n_tokens): UTF-8 length and token count of every whole text.
 
     A null text is the empty text: 0 and 0. Rows are kept as they are, repeated ones and null keys too; other columns
-    are not read. An empty table gives an empty one. ``path`` must be there on every executor.
+    are not read. An empty table gives an empty one. ``path`` must be there on every executor. A long text is one task's
+    work, linear in its length.
     """
     kind = docs.schema[key].dataType.simpleString()
 
