@@ -5,7 +5,8 @@ documents, PMI(entity; term) / -log p(entity) is 1 where the term is in no docum
 two are independent. p(entity | term) is smoothed towards p(entity), so an entity of a single text counts, too, and
 more texts count for more. Terms whose strength for any entity exceeds a threshold are removed, those above a lower one
 generalised, wherever they stand, also in texts without the entity. A term generalises to the class of all terms that
-begin alike, with the longest beginning whose class is in so many texts that it can't disclose the entities any more.
+begin alike, with the longest beginning of which one term is in so many texts, and so the class too, that it can't
+disclose the entities any more.
 DataFrame functions only.
 """
 
@@ -100,7 +101,8 @@ def _outside(text: str = "text") -> Column:
 
 def _terms(text: Column) -> Column:
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
-    return F.array_distinct(F.transform(words, lambda w: F.lower(w)))
+    # Words hold letters only, so together they are lower-cased as each would be.
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.array_join(words, " ")), " ")), "")
 
 
 def _entities() -> Column:
@@ -110,7 +112,13 @@ def _entities() -> Column:
     return F.array_distinct(F.concat(*[F.transform(k, named(k)) for k in KINDS]))
 
 
-def disclosing_terms(texts: DataFrame, least: float = GENERALISE) -> DataFrame:
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(term, n_term): in how many documents each word is. What goes to the shuffle is a partial count for each term and
+    task."""
+    return written(texts.select(F.explode(_terms(_outside())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "pii-terms")
+
+
+def disclosing_terms(texts: DataFrame, n_term: DataFrame, least: float = GENERALISE) -> DataFrame:
     """(term, strength, most) for terms whose strength is ``least`` or more for any entity; strength: the greatest;
     most: a term in more documents can't disclose any of these entities.
 
@@ -129,8 +137,6 @@ def disclosing_terms(texts: DataFrame, least: float = GENERALISE) -> DataFrame:
     # A term in more documents can't reach ``least``, even if it is in all of the entity's.
     most = F.col("n_entity") * F.pow(p_entity, F.lit(least - 1)) * (1 + 1e-9)
     within = members.join(sets, "entity").select("text_hash", *group).distinct().withColumn("most", most)
-    # Every word of every text; what goes to the shuffle is one partial count for each term and task.
-    n_term = texts.select(F.explode(_terms(_outside())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     words = held.select("text_hash", F.explode("terms").alias("term")).groupBy("text_hash", "term").agg(F.count(F.lit(1)).alias("n"))
     pairs = words.join(n_term, "term").join(within, "text_hash").where(F.col("n_term") <= F.col("most"))
     pairs = pairs.groupBy(*group, "most", "term", "n_term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
@@ -145,9 +151,9 @@ def _beginnings(term: Column) -> Column:
     return F.array_distinct(F.array(*(F.substring(term, 1, n) for n in BEGINNINGS)))
 
 
-def generalised(texts: DataFrame, disclosing: DataFrame) -> DataFrame:
+def generalised(n_term: DataFrame, disclosing: DataFrame) -> DataFrame:
     """(term, mark): what stands for each disclosing term, nothing for one that is removed."""
-    classes = texts.select(F.explode(F.array_distinct(F.flatten(F.transform(_terms(_outside()), _beginnings)))).alias("beginning")).groupBy("beginning").agg(F.count(F.lit(1)).alias("n"))
+    classes = n_term.select(F.explode(_beginnings(F.col("term"))).alias("beginning"), "n_term").groupBy("beginning").agg(F.max("n_term").alias("n"))
     options = disclosing.where(F.col("strength") < REMOVE).select("term", "most", F.explode(_beginnings(F.col("term"))).alias("beginning")).where("beginning <> term")
     hidden = options.join(classes, "beginning").where("n > most").groupBy("term").agg(F.max_by("beginning", F.length("beginning")).alias("beginning"))
     mark = F.when(F.col("strength") >= REMOVE, "").when(F.col("beginning").isNull(), "[TERM]").otherwise(F.concat(F.lit("["), "beginning", F.lit("*]")))
@@ -156,7 +162,8 @@ def generalised(texts: DataFrame, disclosing: DataFrame) -> DataFrame:
 
 def told_terms(texts: DataFrame) -> DataFrame:
     """(text_hash, told): the disclosing terms (term, mark) of every different text that has any."""
-    marks = written(generalised(texts, written(disclosing_terms(texts), "pii-disclosing")), "pii-marks")
+    n_term = term_counts(texts)
+    marks = written(generalised(n_term, written(disclosing_terms(texts, n_term), "pii-disclosing")), "pii-marks", (n_term,))
     each = texts.select("text_hash", F.explode(_terms(_outside())).alias("term")).join(marks, "term")
     each = each.groupBy("text_hash", "term").agg(F.min("mark").alias("mark"))
     return each.groupBy("text_hash").agg(F.collect_list(F.struct("term", "mark")).alias("told"))
