@@ -173,12 +173,14 @@ def _with_terms(texts: DataFrame, told: DataFrame) -> DataFrame:
     """texts with the column terms: the spans (start, end, mark) of all occurrences of their disclosing terms."""
     none = F.array().cast("array<struct<start:bigint,end:bigint,mark:string>>")
 
-    def spans(text: Column, known: Column) -> Column:
+    def spans(text: Column, known: Column, pattern: Column) -> Column:
         span = lambda v, start: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), known[F.lower(v)].alias("mark"))
-        every = lambda v: F.when(F.size(v) > 0, F.filter(let(F.split(text, TERM, -1), lambda g: placed_matches(v, g, span)), lambda s: s["mark"].isNotNull())).otherwise(none)
-        return let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), every)
+        every = lambda v: F.when(F.size(v) > 0, F.filter(let(F.split(text, pattern, -1), lambda g: placed_matches(v, g, span)), lambda s: s["mark"].isNotNull())).otherwise(none)
+        return let(F.regexp_extract_all(text, pattern, F.lit(0)), every)
 
-    found = let(_outside(), lambda text: let(F.map_from_entries("told"), lambda known: spans(text, known)))
+    # The terms told, as whole words; a text with a letter that changes its length in lower case has all its words tried.
+    told_words = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join(F.transform("told", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
+    found = let(_outside(), lambda text: let(F.map_from_entries("told"), lambda known: let(F.when(F.contains(text, F.lit("\u0130")), F.lit(TERM)).otherwise(told_words), lambda pattern: spans(text, known, pattern))))
     return texts.join(told, "text_hash", "left").withColumn("terms", F.when(F.col("told").isNull(), none).otherwise(found)).drop("told")
 
 

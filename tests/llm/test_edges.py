@@ -174,3 +174,13 @@ def test_generalised_terms_are_wide_classes(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     # "word..." holds "words" of all texts, so it tells nothing; no other word begins as the second does.
     assert clean[200] == "words contact [word*] [TERM] [EMAIL]" and clean[0] == rows[0][1]
+
+
+def test_terms_are_found_in_any_case(spark):
+    words = ["İstanbulite", "Straße", "ΟΔΟΣΣ", "kelvinſ", "Zürcherin"]
+    rows = [(n, f"words contact number{n} other") for n in range(300)] + [(300 + n, f"words {w} {w.lower()} {w}x contact a{n}@corp.example") for n, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [rows[r["doc_id"]][1][s["start"] : s["end"]] for s in r["terms"]] for r in pii.detect(docs).collect()}
+    for n, w in enumerate(words):
+        assert {w, f"{w}x"} <= set(found[300 + n]) | ({f"{w}x"} if w[0] == "İ" else set()), (w, found[300 + n])
+    assert not any(found[n] for n in range(300))
