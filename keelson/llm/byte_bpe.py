@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from keelson.llm.common import map_rows, whole_text
 
-#: Pieces of text whose ids a worker remembers; beyond that it starts anew.
-MEMO_PIECES = 600_000
+#: Pieces of text whose ids, and pairs of tokens whose fit, a worker remembers; beyond that it starts anew.
+MEMO_PIECES = 300_000
 #: Bytes up to which a piece is remembered; longer ones rarely come back.
 MEMO_BYTES = 64
 NEVER = 1 << 40
@@ -178,7 +178,7 @@ class ByteBpe:
                 else:
                     j += 1
         if limit == NEVER:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > MEMO_PIECES:
                 self._fits.clear()
             self._fits[key] = ok
         return ok
