@@ -20,12 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from keelson.llm.common import map_rows, whole_text
+from keelson.llm.seams import NEVER, can_meet
 
 #: Pieces of text whose ids, and pairs of tokens whose fit, a worker remembers; beyond that it starts anew.
 MEMO_PIECES = 300_000
 #: Bytes up to which a piece is remembered; longer ones rarely come back.
 MEMO_BYTES = 64
-NEVER = 1 << 40
 
 
 class ByteBpe:
@@ -153,36 +153,20 @@ class ByteBpe:
         return self._spine[key]
 
     def can_stand(self, a: bytes, b: bytes, limit: int = NEVER) -> bool:
-        """Whether no merge of rank under ``limit`` crosses the seam of a and b while both are built.
-
-        At every moment the seam lies between a piece of a's right edge and one of b's left edge. A merge of the two
-        wins if its rank is below that of the merge that ends the left piece (which lies further left and so comes
-        first when equal) and not above the one that ends the right piece.
-        """
+        """Whether no merge of rank under ``limit`` crosses the seam of a and b while both are built."""
         key = (a, b)
         if limit == NEVER and key in self._fits:
             return self._fits[key]
-        ok = self._reachable(a) and self._reachable(b)
-        if ok:
-            (left, left_ends), (right, right_ends) = self._edge(a, True), self._edge(b, False)
-            i = j = 0
-            while True:
-                rank = self.ranks.get(left[i] + right[j], NEVER)
-                if rank < limit and rank < left_ends[i] and rank <= right_ends[j]:
-                    ok = False
-                    break
-                if left_ends[i] == right_ends[j] == NEVER:
-                    break
-                if left_ends[i] <= right_ends[j]:
-                    i += 1
-                else:
-                    j += 1
+        ok = self._reachable(a) and self._reachable(b) and can_meet(*self._edge(a, True), *self._edge(b, False), self._rank_of, limit)
         if limit == NEVER:
             if len(self._fits) > MEMO_PIECES:
                 self._fits.clear()
             self._fits[key] = ok
         return ok
 
+    def _rank_of(self, a: bytes, b: bytes) -> int:
+        return self.ranks.get(a + b, NEVER)
+
     # -- decoding -------------------------------------------------------------------------------------------------
 
     def decode_packed(self, ids: bytes) -> bytes:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import map_rows, whole_text
+from keelson.llm.seams import NEVER, can_meet
 
 CHUNK_CHARS = 65_536
 MEMO_WORDS = 1_000_000
@@ -33,7 +34,6 @@ MEMO_CHARS = 64
 WORD_CHUNK = 16_384
 LOOK_BACK = (16, 32, 64)
 STATES = 200_000
-NEVER = 1 << 40
 
 # The characters that Unicode calls white space; Python's own split() also cuts at U+001C to U+001F.
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -175,24 +175,16 @@ class WordTransducer:
         key = (a, b)
         if limit == NEVER and (known := self._fits.get(key)) is not None:
             return known
-        (left, left_ends), (right, right_ends) = self._edge(a, True), self._edge(b, False)
-        i = j = 0
-        ok = True
-        while ok:
-            rank = self.rank.get((left[i], right[j]), NEVER)
-            ok = not (rank < limit and rank < left_ends[i] and rank <= right_ends[j])
-            if left_ends[i] == right_ends[j] == NEVER:
-                break
-            if left_ends[i] <= right_ends[j]:
-                i += 1
-            else:
-                j += 1
+        ok = can_meet(*self._edge(a, True), *self._edge(b, False), self._rank_of, limit)
         if limit == NEVER:
             if len(self._fits) > 1_000_000:
                 self._fits.clear()
             self._fits[key] = ok
         return ok
 
+    def _rank_of(self, a: tuple[str, ...], b: tuple[str, ...]) -> int:
+        return self.rank.get((a, b), NEVER)
+
 
 class ChunkMap:
     """What a chunk inside a word does: (end state, count) by start state."""

@@ -102,3 +102,22 @@ def grouped(pairs):
     for k, v in pairs:
         out[k].append(v)
     return out
+
+
+def mix(rows, weights=(5, 2, 1)):
+    """rows (doc_id, source, text) of different ids -> doc id -> training positions of its copies."""
+    sizes, total = {i: len(WORD.findall(t or "")) for i, _, t in rows}, defaultdict(int)
+    for i, s, _ in rows:
+        total[s] += sizes[i]
+    target, names = mix_targets(total, weights), sorted(x for x in total if x is not None) + [None] * (None in total)
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    digest = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    out = {}
+    for n, s in enumerate(names):
+        tilt, start = 0.5 if n % 2 == 0 else -0.5, 0
+        order = sorted((number(f"{'' if i is None else i}:{digest(t)}"), i, sizes[i]) for i, x, t in rows if x == s)
+        for _, i, size in sorted(order, key=lambda x: (x[0] % 4096, x[0])):
+            taken = [start + k * total[s] for k in range(3) if size and start + k * total[s] + size / 2 < target[s]]
+            out[i] = [((1 + tilt) - ((1 + tilt) ** 2 - 4 * tilt * min(1, w / target[s])) ** 0.5) / (2 * tilt) for w in taken]
+            start += size
+    return out

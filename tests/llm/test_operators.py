@@ -161,6 +161,8 @@ def test_source_mix(docs, none):
     for s in total:
         taken = sum(r["taken"] for n, r in got.items() if SOURCES[n % 5] == s)
         assert abs(taken - target[s]) <= max(sizes[n] for n in sizes if SOURCES[n % 5] == s)
+    want = brute.mix([(n, SOURCES[n % 5], t) for n, t in enumerate(TEXTS)])
+    assert all(np.allclose(r["positions"], want[n], atol=1e-9) and r["copies"] == len(want[n]) for n, r in got.items())
     assert {n: r["taken"] for n, r in got.items()} == by_id_taken(source_mix.plan(docs.repartition(5)))
     assert source_mix.plan(none).count() == 0
 
@@ -170,7 +172,7 @@ def test_mix_is_in_training_order(spark, docs, monkeypatch, tmp_path):
     got = [(r["position"], r["doc_id"]) for r in corpus_pipeline.mix(spark, docs, "").collect()]
     assert sorted(got) == want and [p for p, _ in got] == [p for p, _ in want]
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    first = [r["positions"][0] if r["positions"] else 2 for r in queries.op5_source_mix(spark, str(tmp_path)).collect()]
+    first = [2 if r["first_position"] is None else r["first_position"] for r in queries.op5_source_mix(spark, str(tmp_path)).collect()]
     assert len(first) == len(TEXTS) and first == sorted(first)
 
 
@@ -311,6 +313,16 @@ def test_pipeline_on_the_smallest_table(spark):
     assert all(not brute.personal(r["text"])[0] for r in steps["personal data"])
     assert len(steps["byte bpe"]) == len(steps["source mix"])
     mixed = {r["doc_id"]: r["text"] for r in steps["source mix"]}
+    clean = {r["doc_id"]: r for r in steps["personal data"]}
+    assert all(r["n_chars"] == len(r["text"]) for r in clean.values())
+    positions = brute.mix([(n, r["source"], r["text"]) for n, r in clean.items()])
+    got = sorted((r["doc_id"], r["position"], r["text"]) for r in steps["source mix"])
+    want = sorted((n, p, clean[n]["text"]) for n, x in positions.items() for p in x)
+    assert [(n, t) for n, _, t in got] == [(n, t) for n, _, t in want] and np.allclose([p for _, p, _ in got], [p for _, p, _ in want])
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert all(np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library.encode_ordinary(mixed[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) // 4 for r in steps["byte bpe"])
     assert all(r["decoded_sha256"] == brute.sha(mixed[r["doc_id"]]) for r in steps["byte bpe"])
 
 
