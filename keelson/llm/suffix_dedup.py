@@ -397,7 +397,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     for turn in range(1, CUTS + 1):
         if many is None:
             break
-        again = written(_cut_again(many, kind, turn), "suffix-again", (many,))
+        # Of later turns' folders the rows that aren't crowded are read at the end, so only the first one is spent.
+        again = written(_cut_again(many, kind, turn), "suffix-again", (many,) if turn == 1 else ())
         # The first of equal segments, with its bytes.
         each = written(again.groupBy("gram", "segment").agg(F.min(F.struct(place.alias("place"), F.col("raw"))).alias("first"), F.count(F.lit(1)).alias("n")), "suffix-firsts")
         repeats = each.where("n > 1").select("gram", "segment", F.col("first.place").alias("first"))
