@@ -37,6 +37,8 @@ PRIOR = 0.5
 GENERALISE, REMOVE = 0.9, 0.98
 #: Letters of the beginnings that classes of terms are taken by; a term that no class hides becomes [TERM].
 BEGINNINGS = (1, 2, 3, 4)
+#: Terms with their marks that are broadcast at most: some 30 MB.
+BROADCAST_TERMS = 400_000
 
 
 def _passes(kind: str, value: Column) -> Column:
@@ -164,7 +166,9 @@ def told_terms(texts: DataFrame) -> DataFrame:
     """(text_hash, told): the disclosing terms (term, mark) of every different text that has any."""
     n_term = term_counts(texts)
     marks = written(generalised(n_term, written(disclosing_terms(texts, n_term), "pii-disclosing")), "pii-marks", (n_term,))
-    each = texts.select("text_hash", F.explode(_terms(_outside())).alias("term")).join(marks, "term")
+    # Every word of every text meets the marks; so few of them go to all tasks, more are joined by a shuffle of the words.
+    few = marks.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    each = texts.select("text_hash", F.explode(_terms(_outside())).alias("term")).join(F.broadcast(marks) if few else marks, "term")
     each = each.groupBy("text_hash", "term").agg(F.min("mark").alias("mark"))
     return each.groupBy("text_hash").agg(F.collect_list(F.struct("term", "mark")).alias("told"))
 

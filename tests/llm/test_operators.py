@@ -120,7 +120,9 @@ def test_terms_of_an_entity_in_one_text_are_found(spark):
     assert not any(r["terms"] for r in pii.detect(again).collect())
 
 
-def test_disclosing_terms_are_marked_wherever_they_stand(spark):
+@pytest.mark.parametrize("most", [pii.BROADCAST_TERMS, 0])
+def test_disclosing_terms_are_marked_wherever_they_stand(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
     far = " and words" * 30
     rows = [(n, f"{n} words Zanzibar, 12 12{far} bob@corp.example and{far} zanzibar") for n in range(5)] + [(n, "words and Zanzibar alone") for n in range(5, 7)] + [(n, "words and nobody") for n in range(7, 2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -184,7 +186,7 @@ def test_suffix_dedup(spark, docs, none, monkeypatch):
     want = brute.removed([(n, (t or "").encode()) for n, t in enumerate(TEXTS)])
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"], brute.sha(bytes(r["kept"]))) for r in suffix_dedup.dedup(docs).collect()}
     assert got == want
-    for bytes_, cuts in ((400, 6), (1, 1)):  # frequent minimizers are cut again, or compared string by string
+    for bytes_, cuts in ((400, 6), (1, 1), (1, 3)):  # frequent minimizers are cut again, or compared string by string
         monkeypatch.setattr(suffix_dedup, "GRAM_BYTES", bytes_)
         monkeypatch.setattr(suffix_dedup, "CUTS", cuts)
         assert {r["doc_id"]: (r["n_removed"], r["n_spans"], brute.sha(bytes(r["kept"]))) for r in suffix_dedup.dedup(docs).collect()} == want
