@@ -152,6 +152,23 @@ def shares_prefix(raw: np.ndarray, left: np.ndarray, sa: np.ndarray, length: int
     return plcp[sa]
 
 
+# -- scratch ----------------------------------------------------------------------------------------------------------
+
+#: Spark's setting by which a query's shuffle files go when the query ends; else they wait for the driver's next full GC.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _settled(df: DataFrame, label: str, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """written(), and what was shuffled for it goes with the spent folders, so that disk holds one step at a time."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return written(df, label, spent)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 # -- minimizers -------------------------------------------------------------------------------------------------------
 
 
@@ -227,7 +244,7 @@ def _anchors(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def _cut(wanted: DataFrame, kind: str) -> DataFrame:
-    """(key, text_hash, text, segments of (gram, start, size)) to one row a segment with its bytes.
+    """(key, text_hash, text, segments of (gram, start, size, crowded)) to one row a segment with its bytes.
 
     Of equal rows that follow one another, as the join sorts them, the first is cut. More of them would do no harm.
     """
@@ -236,7 +253,7 @@ def _cut(wanted: DataFrame, kind: str) -> DataFrame:
         last = [None]
 
         def step(rows: pa.RecordBatch) -> pa.RecordBatch:
-            index, grams, starts, raws = [], [], [], []
+            index, grams, starts, raws, crowded = [], [], [], [], []
             for n, (key, text_hash, text, segments) in enumerate(zip(*(c.to_pylist() for c in rows.columns), strict=True)):
                 if last[0] == (key, text_hash):
                     continue
@@ -247,12 +264,13 @@ def _cut(wanted: DataFrame, kind: str) -> DataFrame:
                     grams.append(s["gram"])
                     starts.append(s["start"])
                     raws.append(raw[s["start"] : s["start"] + s["size"]])
+                    crowded.append(s["crowded"])
             at = pa.array(index, pa.int32())
-            return pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(grams, pa.int64()), pa.array(starts, pa.int64()), pa.array(raws, pa.binary())], ["key", "text_hash", "gram", "start", "raw"])
+            return pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(grams, pa.int64()), pa.array(starts, pa.int64()), pa.array(raws, pa.binary()), pa.array(crowded, pa.bool_())], ["key", "text_hash", "gram", "start", "raw", "crowded"])
 
         return step
 
-    return map_rows(wanted, f"key {kind}, text_hash bigint, gram bigint, start bigint, raw binary", make)
+    return map_rows(wanted, f"key {kind}, text_hash bigint, gram bigint, start bigint, raw binary, crowded boolean", make)
 
 
 def _cut_again(rows: DataFrame, kind: str, turn: int) -> DataFrame:
@@ -277,6 +295,12 @@ def _cut_again(rows: DataFrame, kind: str, turn: int) -> DataFrame:
     return map_rows(rows.select("key", "text_hash", "gram", "start", "raw"), f"key {kind}, text_hash bigint, gram bigint, segment bigint, start bigint, raw binary", make)
 
 
+def _crowded(rows: DataFrame) -> DataFrame | None:
+    """The rows to cut again, if any."""
+    found = rows.where("crowded").drop("crowded")
+    return None if found.isEmpty() else found
+
+
 def repeats_of(raws: list[bytes], order: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
     """(segment, start, end) of what repeats an earlier string; order ranks the segments' documents."""
     sizes = np.fromiter(map(len, raws), np.int32, len(raws))
@@ -377,43 +401,43 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     named = docs.select(F.col(key).alias("key"), F.xxhash64(whole_text(text)).alias("text_hash"), whole_text(text).alias("text"))
     place = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("text_hash"), F.col("start"))
     # Counts are written before they are joined: only a join of two exchanges is split where a minimizer is frequent.
-    repeated = written(_grams(named.select("text")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-grams")
-    hits = written(_anchors(named, kind).join(repeated, "gram"), "suffix-hits")
-    firsts = written(hits.groupBy("gram", "segment").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")), "suffix-firsts")
+    repeated = _settled(_grams(named.select("text")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-grams")
+    hits = _settled(_anchors(named, kind).join(repeated, "gram"), "suffix-hits", (repeated,))
+    firsts = _settled(hits.groupBy("gram", "segment").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")), "suffix-firsts")
     # Whole segments that repeat an earlier one.
-    twins = hits.join(firsts.where("n > 1").select("gram", "segment", "first"), ["gram", "segment"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + F.col("size")).alias("end"))
+    twins = hits.join(firsts.where("n > 1").select("gram", "segment", "first"), ["gram", "segment"]).where(place != F.col("first"))
+    removed = [_settled(twins.select("key", "text_hash", "start", (F.col("start") + F.col("size")).alias("end")), "suffix-twins", (hits,))]
     # Different segments around one gram; their bytes are cut from the texts.
-    mixed = written(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("segments"), F.sum("size").alias("bytes")).where("segments > 1").select("gram", (F.col("bytes") > GRAM_BYTES).alias("crowded")), "suffix-mixed")
-    wanted = written(firsts.join(mixed, "gram").select(F.col("first.key").alias("k"), F.col("first.text_hash").alias("h"), "gram", F.col("first.start").alias("start"), "size", "crowded"), "suffix-wanted")
+    mixed = _settled(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("segments"), F.sum("size").alias("bytes")).where("segments > 1").select("gram", (F.col("bytes") > GRAM_BYTES).alias("crowded")), "suffix-mixed")
+    wanted = _settled(firsts.join(mixed, "gram").select(F.col("first.key").alias("k"), F.col("first.text_hash").alias("h"), "gram", F.col("first.start").alias("start"), "size", "crowded"), "suffix-wanted", (firsts, mixed))
     same_doc = (F.col("text_hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k"))
-
-    def cut(crowded: bool) -> DataFrame:
-        # The texts are dealt by document, once for the cuts and the result alike.
-        of_doc = wanted.where(F.col("crowded") == crowded).groupBy("k", "h").agg(F.collect_list(F.struct("gram", "start", "size")).alias("segments"))
-        return _cut(named.join(of_doc, same_doc).select("key", "text_hash", "text", "segments"), kind)
-
-    few, removed = cut(False), [twins]
-    many = written(cut(True), "suffix-crowded") if mixed.where("crowded").limit(1).count() else None
+    # The texts are dealt by document, once for all cuts, and once more for the result.
+    of_doc = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("gram", "start", "size", "crowded")).alias("segments"))
+    pieces = _settled(_cut(named.join(of_doc, same_doc).select("key", "text_hash", "text", "segments"), kind), "suffix-pieces", (wanted,))
+    held = [pieces]
+    few, many = pieces.where("not crowded").drop("crowded"), _crowded(pieces)
     for turn in range(1, CUTS + 1):
         if many is None:
             break
-        # Of later turns' folders the rows that aren't crowded are read at the end, so only the first one is spent.
-        again = written(_cut_again(many, kind, turn), "suffix-again", (many,) if turn == 1 else ())
+        again = _settled(_cut_again(many, kind, turn), "suffix-again")
         # The first of equal segments, with its bytes.
-        each = written(again.groupBy("gram", "segment").agg(F.min(F.struct(place.alias("place"), F.col("raw"))).alias("first"), F.count(F.lit(1)).alias("n")), "suffix-firsts")
+        each = _settled(again.groupBy("gram", "segment").agg(F.min(F.struct(place.alias("place"), F.col("raw"))).alias("first"), F.count(F.lit(1)).alias("n")), "suffix-firsts")
         repeats = each.where("n > 1").select("gram", "segment", F.col("first.place").alias("first"))
-        removed.append(again.join(repeats, ["gram", "segment"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + F.octet_length("raw")).alias("end")))
-        held = each.groupBy("gram").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.octet_length("first.raw")).alias("bytes")).where("segments > 1").select("gram", (F.col("bytes") > GRAM_BYTES).alias("crowded"))
-        left = written(each.join(written(held, "suffix-mixed"), "gram").select(F.col("first.place.key").alias("key"), F.col("first.place.text_hash").alias("text_hash"), "gram", F.col("first.place.start").alias("start"), F.col("first.raw").alias("raw"), "crowded"), "suffix-left")
-        few = few.unionByName(left.where("not crowded").drop("crowded"))
-        many = left.where("crowded").drop("crowded") if left.where("crowded").limit(1).count() else None
+        twins = again.join(repeats, ["gram", "segment"]).where(place != F.col("first"))
+        removed.append(_settled(twins.select("key", "text_hash", "start", (F.col("start") + F.octet_length("raw")).alias("end")), "suffix-twins", (again,)))
+        mixed = _settled(each.groupBy("gram").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.octet_length("first.raw")).alias("bytes")).where("segments > 1").select("gram", (F.col("bytes") > GRAM_BYTES).alias("crowded")), "suffix-mixed")
+        left = _settled(each.join(mixed, "gram").select(F.col("first.place.key").alias("key"), F.col("first.place.text_hash").alias("text_hash"), "gram", F.col("first.place.start").alias("start"), F.col("first.raw").alias("raw"), "crowded"), "suffix-left", (each, mixed))
+        held.append(left)
+        few, many = few.unionByName(left.where("not crowded").drop("crowded")), _crowded(left)
     if many is not None:
         strings = many.select("key", "text_hash", F.col("start").alias("begin"), "raw", F.explode(F.sequence(F.lit(0), F.octet_length("raw") - LENGTH)).alias("o"))
         strings = strings.select("key", "text_hash", (F.col("begin") + F.col("o")).alias("start"), F.xxhash64(F.substring("raw", F.col("o") + 1, F.lit(LENGTH))).alias("s1"), F.crc32(F.substring("raw", F.col("o") + 1, F.lit(LENGTH))).alias("s2"))
         first_of = strings.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("s1", "s2", "first")
-        removed.append(strings.join(written(first_of, "suffix-strings"), ["s1", "s2"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + LENGTH).alias("end")))
+        first_of = _settled(first_of, "suffix-strings")
+        removed.append(_settled(strings.join(first_of, ["s1", "s2"]).where(place != F.col("first")).select("key", "text_hash", "start", (F.col("start") + LENGTH).alias("end")), "suffix-twins", (first_of,)))
     in_order = few.select("gram", "key", "text_hash", "start", "raw").repartition("gram").sortWithinPartitions("gram")
-    removed.append(in_order.mapInArrow(_shards, f"key {kind}, text_hash bigint, start bigint, end bigint"))
-    gone = reduce(DataFrame.unionByName, removed).groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    late = in_order.mapInArrow(_shards, f"key {kind}, text_hash bigint, start bigint, end bigint")
+    gone = reduce(DataFrame.unionByName, [*removed, late]).groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    gone = _settled(gone, "suffix-gone", (*held, *removed))
     rows = named.join(gone, same_doc, "left").select("key", "text", "gone")
     return _kept(rows, kind).withColumnRenamed("key", key)

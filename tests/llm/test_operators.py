@@ -2,6 +2,8 @@
 
 import base64
 import random
+from pathlib import Path
+from time import sleep
 
 import brute
 import numpy as np
@@ -193,6 +195,28 @@ def test_suffix_dedup(spark, docs, none, monkeypatch):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_dedup_keeps_one_step_on_disk(spark, docs, monkeypatch):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in files.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f and f.endswith(".data")}
+    spark.conf.unset(suffix_dedup.CLEANUP)
+    folders, write = [], suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda *a: (folders.append(write(*a)), folders[-1])[1])
+    for bytes_, cuts in ((500_000, 6), (1, 2)):
+        monkeypatch.setattr(suffix_dedup, "GRAM_BYTES", bytes_)
+        monkeypatch.setattr(suffix_dedup, "CUTS", cuts)
+        folders.clear()
+        before = shuffled()
+        suffix_dedup.dedup(docs)
+        there = [f.scratch.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in folders if Path(f.scratch.removeprefix("file://")).exists()]
+        assert there == ["suffix-gone"]
+        for _ in range(100):  # files go in the background
+            if not shuffled() - before:
+                break
+            sleep(0.1)
+        assert not shuffled() - before
+    assert spark.conf.get(suffix_dedup.CLEANUP) == "false"
+
+
 def test_suffix_arrays():
     rnd = random.Random(2)
     for k in range(80):
